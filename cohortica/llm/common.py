@@ -65,3 +65,35 @@ def count_space_words(text: Column) -> Column:
 def task_count(spark: SparkSession) -> int:
     """Tasks for a shuffle that moves whole texts."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: Everything but ASCII letters, digits and what lies beyond ASCII parts words.
+BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def plain_words(text: Column) -> Column:
+    """Array of the words of an ASCII-lower-cased text; empty for a null text or one without words."""
+    trimmed = F.regexp_replace(ascii_lower(text), f"^{BREAK}|{BREAK}$", "")
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK))
+
+
+def shingle_hashes(words: str, n: int) -> Column:
+    """Hash of each run of ``n`` words of an array column, in order; empty if it has fewer words."""
+    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(n)]))
+    )
+
+
+def string_array(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def once(df: DataFrame, name: str, value: Column, keep=None) -> DataFrame:
+    """``df`` with a column that is evaluated once a row, whatever reads it; ``keep(x)`` drops rows.
+
+    Filters over a projection are pushed below it with its expressions put in
+    their place, which would split a text again for every use of its words; a
+    generator of one element stops that.
+    """
+    one = F.array(value)
+    return df.select("*", F.explode(one if keep is None else F.filter(one, keep)).alias(name))
