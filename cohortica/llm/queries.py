@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortica.llm import decontam, fingerprint, html_extract, licenses, mixing, quality, sharding, token_counts, token_output
+from cohortica.llm import decontam, fingerprint, html_extract, jaccard, licenses, mixing, quality, sharding, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"))))
 
@@ -82,7 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_html_text, op3_licenses, op5_token_counts, op6_fingerprints, op7_token_ids, op8_mixing, op9_quality,
+        op1_sharding, op2_html_text, op3_licenses, op4_jaccard_join, op5_token_counts, op6_fingerprints, op7_token_ids, op8_mixing, op9_quality,
         op10_decontamination,
     )}
 
