@@ -43,8 +43,8 @@ class ProjectSqlite(DataSource):
     def name(cls) -> str:
         return NAME
 
-    def schema(self) -> StructType:
-        return schema.struct(self.options["table"])
+    def schema(self) -> str:
+        return schema.TABLES[self.options["table"]]
 
     def reader(self, kind: StructType) -> DataSourceReader:
         return _Reader(kind, self.options)
