@@ -81,7 +81,8 @@ def _starts(notice: list[str], anchors: list[str]) -> Column:
 
     def of(word: str) -> Column:
         places = F.filter("hits", lambda h: h["w"] == word)
-        return F.flatten(F.array(*[F.transform(places, lambda h, p=p: h["i"] - p) for p, w in enumerate(notice) if w == word]))
+        starts = lambda p: F.transform(places, lambda h: h["i"] - p)
+        return F.flatten(F.array(*[starts(p) for p, w in enumerate(notice) if w == word]))
 
     sets = [of(a) for a in anchors]
     if len(sets) == 1:
