@@ -44,3 +44,39 @@ def spacing_irregular(slices: DataFrame, series: str, position: str, tolerance:
     step = F.col(position) - F.lag(position).over(Window.partitionBy(series).orderBy(position))
     gaps = slices.withColumn("_gap", step).groupBy(series).agg(F.min("_gap").alias("least"), F.max("_gap").alias("most"))
     return gaps.where(F.col("most") - F.col("least") > tolerance)
+
+
+def filter_series(rows: DataFrame, modality: str | None = None, least_images: int = 0, most_thickness: float | None = None, pattern: str | None = None,
+                  since=None, until=None, not_in: DataFrame | None = None) -> DataFrame:
+    """Series of a modality, with enough images, thin enough, whose description matches, of a range of dates, without a result yet."""
+    out = rows.where(F.col("image_count") >= least_images)
+    if modality is not None:
+        out = out.where(F.col("modality") == modality)
+    if most_thickness is not None:
+        out = out.where(F.col("thickness") <= most_thickness)
+    if pattern is not None:
+        out = out.where(F.col("description").rlike(pattern))
+    if since is not None:
+        out = out.where(F.col("study_date") >= F.lit(since))
+    if until is not None:
+        out = out.where(F.col("study_date") <= F.lit(until))
+    return out if not_in is None else out.join(not_in.select("series_key").distinct(), "series_key", "left_anti")
+
+
+def plausibility(metrics: DataFrame, low: float = -1024.0, high: float = 3071.0, thick_mm: float = 5.0, tiny_ml: float = 0.1) -> DataFrame:
+    """Rows with an array of flags: values beyond the CT range, thick slices, tiny structures, another device than asked for."""
+    flags = F.array_compact(F.array(
+        F.when((F.col("hu_min") < low) | (F.col("hu_max") > high), "hu_range"), F.when(F.col("thickness") > thick_mm, "thick_slices"),
+        F.when((F.col("volume_ml") > 0) & (F.col("volume_ml") < tiny_ml), "tiny"), F.when(~F.col("device").eqNullSafe(F.col("requested_device")), "device_fallback"),
+    ))
+    return metrics.withColumn("flags", flags)
+
+
+def rescan(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files that are new or changed by (path, size, mtime) since the last scan."""
+    return files.join(seen.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
+
+
+def first_seen_stream(headers: DataFrame, uid: str, ts: str, late: str = "1 day") -> DataFrame:
+    """Streaming form of :func:`first_by_uid`: the first header of each identifier, with state bounded by the watermark."""
+    return headers.withWatermark(ts, late).dropDuplicatesWithinWatermark([uid])

@@ -162,3 +162,28 @@ def _(spark, sf):
 def _(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, -1)
     return table(spark, sf, "events").select("event_id", "user_id", F.round(F.avg("value").over(w), 6).alias("eta"))
+
+
+@_query("q_n3_series_filters", """SELECT o_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS series_key FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ WHERE l_linestatus = 'F' AND l_quantity >= 20 AND l_tax <= 0.04 AND regexp_matches(o_orderpriority, '^[12]') AND CAST(o_orderdate AS DATE) >= DATE '1994-01-01' AND l_discount <= 0.05""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("description"), F.to_date("o_orderdate").alias("study_date"))
+    rows = table(spark, sf, "lineitem").join(o, "l_orderkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("series_key"), F.when(F.col("l_linestatus") == "F", "CT").otherwise("PT").alias("modality"),
+                                                                      F.col("l_quantity").alias("image_count"), F.col("l_tax").alias("thickness"), "description", "study_date", "l_discount")
+    done = rows.where("l_discount > 0.05")
+    return extensions.filter_series(rows, "CT", 20, 0.04, "^[12]", since="1994-01-01", not_in=done).select("series_key")
+
+
+@_query("q_n4_n6_flags", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_extendedprice / 10 > 3071 THEN 'hu_range' END, CASE WHEN l_tax * 100 > 5 THEN 'thick_slices' END, CASE WHEN l_discount > 0 AND l_discount < 0.03 THEN 'tiny' END,
+ CASE WHEN l_returnflag <> 'N' THEN 'device_fallback' END) AS flags FROM lineitem""")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit(0.0).alias("hu_min"), (F.col("l_extendedprice") / 10).alias("hu_max"), (F.col("l_tax") * 100).alias("thickness"),
+                                               F.col("l_discount").alias("volume_ml"), F.col("l_returnflag").alias("device"), F.lit("N").alias("requested_device"))
+    return extensions.plausibility(rows, tiny_ml=0.03).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("flags", ",").alias("flags"))
+
+
+@_query("q_j13_rescan", "SELECT page_id FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0")
+def _(spark, sf):
+    files = table(spark, sf, "pages").select("page_id", F.concat("url", F.col("page_id").cast("string")).alias("path"), F.length("html").alias("size"), F.lit(1).alias("mtime"))
+    seen = files.where("page_id % 5 <> 0").withColumn("mtime", F.when(F.col("page_id") % 7 == 0, 0).otherwise(1))
+    return extensions.rescan(files, seen).select("page_id")
