@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, StructType
 
-from cohortica import schema
+from cohortica import schema as store
 
 NAME = "project_sqlite"
 
@@ -18,7 +18,7 @@ NAME = "project_sqlite"
 class _Reader(DataSourceReader):
     def __init__(self, kind: StructType, options: dict):
         self.kind, self.path, self.table, self.run = kind, options["path"], options["table"], options.get("run_id")
-        if self.table not in schema.TABLES:
+        if self.table not in store.TABLES:
             raise ValueError(f"no table {self.table}")
 
     def partitions(self) -> list[InputPartition]:
@@ -44,13 +44,13 @@ class ProjectSqlite(DataSource):
         return NAME
 
     def schema(self) -> str:
-        return schema.TABLES[self.options["table"]]
+        return store.TABLES[self.options["table"]]
 
-    def reader(self, kind: StructType) -> DataSourceReader:
-        return _Reader(kind, self.options)
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(schema, self.options)
 
 
-def read(spark: SparkSession, path: str, run_id: str | None = None, names=tuple(schema.TABLES)) -> dict[str, DataFrame]:
+def read(spark: SparkSession, path: str, run_id: str | None = None, names=tuple(store.TABLES)) -> dict[str, DataFrame]:
     """Tables of a database file that every executor can open; a run id is filtered in SQLite.
 
     Ids such as 00012345 stay text.  A table is one read transaction; for one
