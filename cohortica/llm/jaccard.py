@@ -12,10 +12,11 @@ threshold:
 * Groups start as classes with the same three min-hashes, cut into chunks of
   about ``CHUNK``.  Inside a chunk, and between the leaders of the chunks, all
   pairs are compared; connected members then become one group each.
-* A class can reach t with a member of a group only if one of its first
-  s - ceil(t*s) + 1 tokens, in a fixed order of all tokens, is among those of
-  that member.  The matrix is stored for these tokens, (token, group) once.  The
-  order puts tokens that many texts share last, so shared passages don't meet.
+* A class can reach t with a member of a group only if ``depth`` of its first
+  s - ceil(t*s) + depth tokens, in a fixed order of all tokens, are among those
+  of that member.  The matrix is stored for these tokens, (token, group) once.
+  The order puts tokens that many texts share last, so shared passages don't
+  meet, and no pair meets by a few words that happen to be the same.
 * A pair of groups is met from the smaller one; members of a large group are
   compared block by block.  Groups that are already connected are not opened
   again, so a group of near copies costs one row a token whatever its size.
@@ -38,6 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ from cohortica.llm import common
 CHUNK = 256
 #: Tokens of the members and of the queries that one task compares at once.
 TASK_TOKENS = 1_000_000
+#: Tokens of their prefixes that a class and a group must share; the prefixes are longer by as many less one.
+DEPTH = 4
 #: Tokens in at least SHARED texts go last in the order; the driver holds MOST_SHARED of them, the most frequent.
 SHARED, MOST_SHARED = 20, 200_000
 #: Bits of the maps that keep rows nobody asks for out of shuffles: 2**26 bits are 8 MB, whatever the input.
@@ -69,7 +73,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     start = 0
     while start < len(texts):
         stop, size, words = start, 0, []
-        while stop < len(texts) and size < 8_000_000:
+        while stop < len(texts) and size < 2_000_000:
             words.append((texts[stop] or "").encode("utf-8", "surrogatepass").lower().split())
             size += len(texts[stop] or "")
             stop += 1
@@ -120,12 +124,14 @@ class Threshold:
         if not 0 < num < den:
             raise ValueError("the threshold must lie between 0 and 1")
         self.num, self.den = num, den
+        least = next(n for n in range(1, den * den + 2) if self.partners(n))
+        self.depth = min(DEPTH, -(-num * least // den))
 
     def links(self, both, a, b):
         return both * self.den >= (a + b - both) * self.num
 
     def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + self.depth
 
     def partners(self, n: int) -> bool:
         """Whether a set of n can link with another than itself."""
@@ -184,28 +190,38 @@ class _Bits:
         return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _id_hash(ids: pd.Series) -> np.ndarray:
-    return _stir(ids.fillna(-1).astype("int64").to_numpy().view(np.uint64)).view(np.int64)
+def _id_hash(ids: pa.Array) -> np.ndarray:
+    return _stir(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 # -- stages -------------------------------------------------------------------------------------------------------------
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Small pieces of Arrow batches: long texts become Python objects a few at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _facts(docs: DataFrame, n: int) -> DataFrame:
     """kind 0: doc_id, size, key of a row.  kind 1: a token several texts of a batch have, in ``doc_id``, and their number."""
+    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_sets(b["text"].tolist(), n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = shingle_sets(b.column("text").to_pylist(), n)
             keys = [_key(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "size": [len(s) for s in sets], "key": keys})
+            columns = [pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
             own = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
             if len(own) > 1:
                 tokens, times = np.unique(np.concatenate(own), return_counts=True)
-                again = times > 1
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array(tokens[again].view(np.int64), dtype="Int64"), "size": times[again], "key": None})
+                tokens, times = tokens[times > 1].view(np.int64), times[times > 1]
+                columns = [pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens), pa.array(times.astype(np.int64)), pa.nulls(len(tokens), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return common.materialize(docs.mapInPandas(run, "kind int, doc_id long, size long, key binary"), "jaccard-facts")
+    return common.materialize(docs.mapInArrow(run, "kind int, doc_id long, size long, key binary"), "jaccard-facts")
 
 
 def _shared_tokens(facts: DataFrame) -> _Order:
@@ -221,20 +237,21 @@ def _shared_tokens(facts: DataFrame) -> _Order:
 def _classes(docs: DataFrame, n: int, limit: Threshold, order: _Order) -> DataFrame:
     """key, c (its first 8 bytes), size, signature, prefix of every class that can link with another; doc_hash finds a text of it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_sets(b["text"].tolist(), n)
-            held, hashes = {}, _id_hash(b["doc_id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sets = shingle_sets(b.column("text").to_pylist(), n)
+            held, hashes = {}, _id_hash(b.column("doc_id"))
             for s, h in zip(sets, hashes, strict=True):
                 if len(s) and limit.partners(len(s)):
                     held.setdefault(_key(s), (s, int(h)))
-            yield pd.DataFrame({
-                "key": list(held), "c": [_short(k) for k in held], "size": [len(s) for s, _ in held.values()],
-                "signature": [_signature(s) for s, _ in held.values()], "doc_hash": [h for _, h in held.values()],
-                "prefix": [order.first(s, limit.prefix(len(s))).tobytes() for s, _ in held.values()],
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(list(held), pa.binary()), "c": pa.array([_short(k) for k in held], pa.int64()),
+                "size": pa.array([len(s) for s, _ in held.values()], pa.int64()), "signature": pa.array([_signature(s) for s, _ in held.values()], pa.int64()),
+                "doc_hash": pa.array([h for _, h in held.values()], pa.int64()),
+                "prefix": pa.array([order.first(s, limit.prefix(len(s))).tobytes() for s, _ in held.values()], pa.binary()),
             })
 
-    rows = docs.mapInPandas(run, "key binary, c long, size long, signature long, doc_hash long, prefix binary")
+    rows = docs.mapInArrow(run, "key binary, c long, size long, signature long, doc_hash long, prefix binary")
     return common.materialize(rows.dropDuplicates(["key"]), "jaccard-classes")
 
 
@@ -242,13 +259,13 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFra
     """key, tokens of the classes ``wanted`` (key, doc_hash): their texts are found by the id's hash and cut again."""
     found = _Bits.of(wanted.select("doc_hash"), bits)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = found.has(_id_hash(b["doc_id"]))
-            sets = {_key(s): s for s in shingle_sets(b["text"][hit].tolist(), n) if len(s)}
-            yield pd.DataFrame({"key": list(sets), "tokens": [s.tobytes() for s in sets.values()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            texts = b.column("text").filter(pa.array(found.has(_id_hash(b.column("doc_id"))))).to_pylist()
+            sets = {_key(s): s for s in shingle_sets(texts, n) if len(s)}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(list(sets), pa.binary()), "tokens": pa.array([s.tobytes() for s in sets.values()], pa.binary())})
 
-    rows = docs.mapInPandas(run, "key binary, tokens binary")
+    rows = docs.mapInArrow(run, "key binary, tokens binary")
     return rows.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -361,7 +378,7 @@ def _cross_links(docs: DataFrame, classes: DataFrame, units: DataFrame, n: int,
     asks = rows.select("token", "c", "unit", "size", "members")
     smaller = F.struct("members", "unit") < F.struct("group_members", "group")
     fits = (F.col("size") * limit.den >= F.col("low") * limit.num) & (F.col("high") * limit.den >= F.col("size") * limit.num)
-    wanted = common.materialize(asks.join(groups, "token").where(smaller & fits).select("c", "group").distinct(), "jaccard-asks")
+    wanted = common.materialize(asks.join(groups, "token").where(smaller & fits).groupBy("c", "group").count().where(F.col("count") >= limit.depth).select("c", "group"), "jaccard-asks")
     common.discard(live, rows)
     # A group is cut into blocks of TASK_TOKENS; so are the queries that meet one block.
     asked = placed.select("key", "c", "size", "doc_hash").join(wanted, "c")
