@@ -5,12 +5,14 @@ shingles are five of them (an item with fewer words is one shingle).
 
 1. A similarity of 0.8 needs a common shingle, so only texts that hold one of
    the items' shingles are windowed.  Equal texts are searched once.
-2. Each such place puts a window of the item's size over the text.  Its 64-bit
-   SimHash, weighted by how often a shingle occurs, meets the items' of that
-   size through ``RADIUS + 1`` bit blocks: two fingerprints at most RADIUS bits
-   apart agree in one block at least.
-3. Pairs within the radius are verified by exact weighted Jaccard similarity
-   (sum of the smaller counts over sum of the larger).
+2. Each such place implies a start of the item in the text.  A window before the
+   least or after the largest implied start holds no place that the window there
+   lacks, so every start between them is windowed, wherever the item was edited.
+   Of w and m shingles with similarity 0.8, 4/9 (w + m) are common: windows that
+   hold fewer of the item's shingles are left out, without loss.
+3. Windows whose 64-bit SimHash, weighted by how often a shingle occurs, is at
+   most RADIUS bits from the item's are verified by exact weighted Jaccard
+   similarity (sum of the smaller counts over sum of the larger).
 
 RADIUS 20 is four standard deviations beyond the mean distance (9.7 bits) of
 two windows of similarity 0.8, so the fingerprints lose about one borderline
@@ -33,7 +35,6 @@ SHINGLE = 5
 RADIUS = 20
 #: Item shingles up to this many are a literal set and a broadcast table; beyond it the same steps are shuffled joins.
 MOST_LITERALS = 100_000
-_CUTS = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
 
 
 def simhash(shingles: str) -> Column:
@@ -42,8 +43,19 @@ def simhash(shingles: str) -> Column:
     )
 
 
-def _blocks(x: str) -> Column:
-    return F.array(*[F.expr(f"shiftrightunsigned({x}, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(_CUTS, _CUTS[1:], strict=False)])
+def _starts() -> Column:
+    """Every start from ``low`` to ``high`` whose window of ``width`` holds ``least`` of the sorted ``places``, each once.
+
+    The window's first place is the i-th: it starts after the place before, and early enough to end no sooner than the
+    last of ``least`` places.  Starts beyond the text's ends are moved to them.
+    """
+    return F.expr(
+        """flatten(transform(
+            transform(sequence(0, size(places) - least), i -> struct(
+              greatest(least(greatest(low, 0), size - width), if(i = 0, 0, get(places, i - 1) + 1), get(places, i + least - 1) - width + 1) as a,
+              least(greatest(least(high, size - width), 0), get(places, i)) as b)),
+            x -> if(x.a <= x.b, sequence(x.a, x.b), cast(array() as array<int>))))"""
+    )
 
 
 def _counted(shingles: str) -> Column:
@@ -72,9 +84,10 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: s
 
 
 def _search(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    items = items.withColumn("shingles", common.shingle_hashes("words", n)).drop("words")
-    postings = items.select("span", F.posexplode("shingles").alias("at", "shingle")).distinct()
-    literals = [x.shingle for x in postings.select("shingle").distinct().limit(MOST_LITERALS + 1).collect()]
+    items = items.withColumn("shingles", common.shingle_hashes("words", n)).drop("words").withColumn("passage", F.md5(F.array_join(F.col("shingles").cast("array<string>"), " ")))
+    passages = items.select("passage", "shingles").dropDuplicates(["passage"]).withColumn("item_print", simhash("shingles"))
+    postings = passages.select(F.explode("shingles").alias("shingle")).distinct()
+    literals = [x.shingle for x in postings.limit(MOST_LITERALS + 1).collect()]
     small = len(literals) <= MOST_LITERALS
     split = common.once(keyed, "words", common.plain_words(F.col("text")))
     if small:
@@ -84,39 +97,40 @@ def _search(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
         keys = hashed.select("key", F.explode("shingles").alias("shingle")).join(postings, "shingle", "left_semi").select("key").distinct()
         held = hashed.join(keys, "key", "left_semi")
     held = common.materialize(held.dropDuplicates(["key"]), "decontam-held")
+    places = held.select("key", F.size("shingles").alias("size"), F.posexplode("shingles").alias("place", "shingle"))
+    spread = passages.select("passage", F.size("shingles").alias("wide"), F.posexplode("shingles").alias("at", "shingle"))
+    spread = spread.groupBy("passage", "wide", "shingle").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     if small:
-        postings, items = F.broadcast(postings), F.broadcast(items)
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("size") - F.col("span") + n - 1))
+        spread, passages = F.broadcast(spread), F.broadcast(passages)
     windows = (
-        held.select("key", F.size("shingles").alias("size"), F.posexplode("shingles").alias("place", "shingle"))
-        .join(postings, "shingle")
-        .select("key", "span", start.alias("start_word"))
-        .distinct()
+        places.join(spread, "shingle")
+        .groupBy("key", "passage", "size", "wide")
+        .agg(F.sort_array(F.collect_list("place")).alias("places"), F.min(F.col("place") - F.col("last")).alias("low"), F.max(F.col("place") - F.col("first")).alias("high"))
+        .withColumn("width", F.least("size", "wide"))
+        .withColumn("least", F.ceil(4 * (F.col("width") + F.col("wide")) / 9).cast("int"))
+        .where("size(places) >= least")
+        .select("key", "passage", "width", F.explode(_starts()).alias("start_word"))
         .join(held, "key")
-        .select("key", "span", "start_word", F.slice("shingles", F.col("start_word") + 1, F.col("span") - (n - 1)).alias("window"))
-        .withColumn("print", simhash("window"))
-    )
-    ours = windows.select("*", F.posexplode(_blocks("print")).alias("block", "bits"))
-    theirs = items.withColumn("item_print", simhash("shingles")).select(
-        "item_id", F.col("span").alias("item_span"), "shingles", "item_print", F.posexplode(_blocks("item_print")).alias("item_block", "item_bits")
+        .select("key", "passage", "start_word", F.slice("shingles", F.col("start_word") + 1, F.col("width")).alias("window"))
     )
-    if small:
-        theirs = F.broadcast(theirs)
     met = (
-        ours.join(theirs, (F.col("span") == F.col("item_span")) & (F.col("block") == F.col("item_block")) & (F.col("bits") == F.col("item_bits")))
-        .withColumn("apart", F.expr("print ^ item_print"))
-        .withColumn("hamming", F.bit_count("apart"))
+        windows.join(passages, "passage")
+        .withColumn("hamming", F.bit_count(simhash("window").bitwiseXOR(F.col("item_print"))))
         .where(F.col("hamming") <= RADIUS)
-        .where(F.array_position(_blocks("apart"), 0) == F.col("block") + 1)  # each pair once, at its first common block
     )
     same = F.size(F.array_intersect(_counted("window"), _counted("shingles")))
-    return (
+    best = (
         met.withColumn("same", same)
         .withColumn("all", F.size("window") + F.size("shingles") - F.col("same"))
         .where("5 * same >= 4 * all")
+        .groupBy("key", "passage")
+        .agg(F.max(F.struct((F.col("same") / F.col("all")).alias("similarity"), (-F.col("start_word")).alias("s"), F.col("hamming"))).alias("best"))
+    )
+    return (
+        best.join(items.select("item_id", "passage").distinct(), "passage")
         .groupBy("key", "item_id")
-        .agg(F.max(F.struct((F.col("same") / F.col("all")).alias("similarity"), (-F.col("start_word")).alias("s"), (-F.col("hamming")).alias("h"))).alias("best"))
-        .select("key", "item_id", "best.similarity", (-F.col("best.s")).alias("start_word"), (-F.col("best.h")).alias("hamming"))
+        .agg(F.max("best").alias("best"))
+        .select("key", "item_id", "best.similarity", (-F.col("best.s")).alias("start_word"), "best.hamming")
     )
 
 

@@ -383,6 +383,27 @@ def test_decontamination_with_a_large_benchmark(spark, monkeypatch):
     assert [tuple(r)[:3] for r in decontam.leaks(docs, bench).collect()] == [(1, 5, 1.0)]
 
 
+def inserted_and_edged(words, k, e):
+    """``words`` with the outer ``e`` on each side replaced and ``k`` put in between, or taken out where k < 0."""
+    half = len(words) // 2
+    middle = words[e:half] + [f"new{j}" for j in range(k)] + words[half - min(k, 0) : len(words) - e]
+    return " ".join([f"left{j}" for j in range(e)] + middle + [f"right{j}" for j in range(e)])
+
+
+def test_decontamination_of_passages_edited_inside_and_at_both_ends(spark):
+    docs, items = [], []
+    for size, k, e in [(58, 2, 1), (100, 6, 3), (150, 10, 5), (300, 20, 10), (58, -2, 1), (100, -6, 3)]:
+        words = [f"q{size}x{k + 50}x{j}" for j in range(size)]
+        items.append((len(items), " ".join(words)))
+        docs.append((len(docs), f"{'before ' * 30}{inserted_and_edged(words, k, e)}{' after' * 30}"))
+        docs.append((len(docs), inserted_and_edged(words, k, e)))
+        docs.append((len(docs), f"{words[5]} {' '.join(words[7:15])} {'far ' * 400}{inserted_and_edged(words, k, e)} {'far ' * 400}{' '.join(words[-20:])}"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = best_windows(docs, items)
+    assert len(want) >= 12
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(df, bench).collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
 # -- common --------------------------------------------------------------------------------------------------------------
 
 
