@@ -69,8 +69,17 @@ def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word, hamming: the best window of each row for each item it holds."""
-    text = F.col(text_col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(F.encode(common.text_or_empty(text_col), "utf-8")).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _key(text_col).alias("key"))
+    return rows.join(_found(docs, bench, item_col, text_col), "key").select("doc_id", "item_id", "similarity", "start_word", "hamming")
+
+
+def _key(text_col: str) -> Column:
+    return F.md5(F.encode(common.text_or_empty(text_col), "utf-8"))
+
+
+def _found(docs: DataFrame, bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """key, item_id, similarity, start_word, hamming: the best window of each text, by its key, for each item it holds."""
+    keyed = docs.select(F.col(text_col).alias("text"), _key(text_col).alias("key"))
     items = common.materialize(_items(bench, item_col, text_col), "decontam-items")
     found = None
     for (n,) in items.select(F.least("span", F.lit(SHINGLE)).alias("n")).distinct().orderBy("n").collect():  # SHINGLE rows at most
@@ -79,8 +88,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: s
     if found is None:
         none = docs.sparkSession.createDataFrame([], "key string, item_id long, similarity double, start_word int, hamming int")
         found = none.withColumn("item_id", F.col("item_id").cast(bench.schema[item_col].dataType))
-    found = common.materialize(found, "decontam-found")
-    return keyed.select("doc_id", "key").join(found, "key").select("doc_id", "item_id", "similarity", "start_word", "hamming")
+    return common.materialize(found, "decontam-found")
 
 
 def _search(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -134,7 +142,7 @@ def _search(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    gone = leaks(docs, bench, id_col, **how).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item; ``id_col`` decides nothing, ids may be null or repeated."""
+    gone = _found(docs, bench, item_col, text_col).select(F.col("key").alias("_leaked")).distinct()
+    return docs.join(gone, _key(text_col) == F.col("_leaked"), "left_anti")

@@ -40,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortica.llm import common
@@ -205,23 +205,23 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.
 
 
 def _facts(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: doc_id, size, key of a row.  kind 1: a token several texts of a batch have, in ``doc_id``, and their number."""
-    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary())])
+    """kind 0: doc_id, size, key, mark of a row.  kind 1: a token several texts of a batch have, in ``doc_id``, and their number."""
+    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("mark", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = shingle_sets(b.column("text").to_pylist(), n)
             keys = [_key(s) if len(s) else None for s in sets]
-            columns = [pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
+            columns = [pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), b.column("mark").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
             own = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
             if len(own) > 1:
                 tokens, times = np.unique(np.concatenate(own), return_counts=True)
                 tokens, times = tokens[times > 1].view(np.int64), times[times > 1]
-                columns = [pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens), pa.array(times.astype(np.int64)), pa.nulls(len(tokens), pa.binary())]
+                columns = [pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens), pa.array(times.astype(np.int64)), pa.nulls(len(tokens), pa.binary()), pa.nulls(len(tokens), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return common.materialize(docs.mapInArrow(run, "kind int, doc_id long, size long, key binary"), "jaccard-facts")
+    return common.materialize(docs.mapInArrow(run, "kind int, doc_id long, size long, key binary, mark binary"), "jaccard-facts")
 
 
 def _shared_tokens(facts: DataFrame) -> _Order:
@@ -415,9 +415,17 @@ def _explode(keep: _Bits | None):
 
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", bits: int = MAP_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: rows are linked when num/den of their shingles' union is common."""
+    rooted = _rooted(docs, F.lit(None).cast("binary"), n, num, den, id_col, text_col, bits)
+    names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _rooted(docs: DataFrame, mark: Column, n: int, num: int, den: int, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """doc_id, mark, n_shingles, root of every row; rows of one component have one root, those without a shingle none."""
     limit = Threshold(num, den)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = _facts(docs, n)
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    docs = marked.select("doc_id", "text")
+    facts = _facts(marked, n)
     classes = _classes(docs, n, limit, _shared_tokens(facts))
     chunks = common.materialize(_cut(classes.select("key", "size", "signature", "doc_hash")), "jaccard-chunks")
     near = common.materialize(_with_sets(docs, chunks, n, bits).join(chunks, "key"), "jaccard-near")
@@ -435,14 +443,25 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     )
     cross = common.materialize(_cross_links(docs, classes, units, n, limit, bits), "jaccard-links")
     roots = common.materialize(connected(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cross)), "jaccard-roots")
-    rows = facts.where("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "key")
-    rooted = rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
-    names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id; rows without an id stay."""
-    found = join(docs, id_col=id_col, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = facts.where("kind = 0").select("doc_id", "mark", F.col("size").alias("n_shingles"), "key")
+    return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", bits: int = MAP_BITS) -> DataFrame:
+    """``docs`` with one row of each component, one of the least id; rows without an id or a shingle stay.
+
+    Rows are told by id and text, so rows that share an id but not the text are
+    decided each for itself; of rows that share both, one is kept.
+    """
+    mark = F.unhex(F.md5(F.encode(common.text_or_empty(text_col), "utf-8")))
+    rows = _rooted(docs, mark, n, num, den, id_col, text_col, bits).where("doc_id is not null and root is not null")
+    rows = rows.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    own = F.struct("doc_id", "mark") == F.col("first")
+    fate = common.materialize(
+        rows.join(first, "root").where(~own | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), own.alias("_repeated")), "jaccard-fate"
+    )
+    same = (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark"))
+    repeated = docs.join(fate.where("_repeated"), same)
+    one = Window.partitionBy("_id", "_mark").orderBy(F.to_json(F.struct(*[docs[c] for c in docs.columns])))
+    return docs.join(fate, same, "left_anti").unionByName(repeated.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").select(*docs.columns))

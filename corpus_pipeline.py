@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group linked by 0.8 of their five-word shingles."""
+    """One document of least id of each group linked by 0.8 of their five-word shingles."""
     return jaccard.keep_one(docs, n=5, num=8, den=10).select(*COLUMNS)
 
 

@@ -178,6 +178,16 @@ def test_jaccard_keeps_one(spark):
     assert jaccard.join(none(spark), bits=18).count() == 0
 
 
+def test_jaccard_keeps_one_row_by_row(spark):
+    a, b, c = "a b c d e f g", "q r s t u v w", "h i j k l m n"
+    rows = [(1, a), (3, a), (3, b), (3, None), (4, c), (4, c), (4, c), (5, c), (6, ""), (6, ""), (None, a), (None, c)]
+    df = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, size string").repartition(4)
+    kept = jaccard.keep_one(df, bits=18)
+    assert kept.columns == df.columns
+    want = [(1, a), (3, b), (3, None), (4, c), (6, ""), (6, ""), (None, a), (None, c)]
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+
+
 # -- tokens --------------------------------------------------------------------------------------------------------------
 
 
@@ -404,6 +414,14 @@ def test_decontamination_of_passages_edited_inside_and_at_both_ends(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(df, bench).collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_clean_decides_row_by_row(spark):
+    item = "a b c d e f g h"
+    rows = [(None, f"x {item} y"), (None, "nothing here at all"), (None, None), (7, item), (7, "another text of this id"), (8, item), (8, item), (9, "last")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = sorted(str((r.doc_id, r.text)) for r in decontam.clean(df, bench).collect())
+    assert kept == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 # -- common --------------------------------------------------------------------------------------------------------------
 
 
