@@ -98,7 +98,7 @@ def _sets(words: list[list[bytes]], n: int) -> list[np.ndarray]:
     total = len(word)
     rolled = np.zeros(total, _U)
     for j in range(n):
-        rolled[: total - j] += word[j:] * _FACTORS[j]
+        rolled[: max(0, total - j)] += word[j:] * _FACTORS[j]
     rolled = _stir(rolled)
     sets, at = [], 0
     for c in counts.tolist():

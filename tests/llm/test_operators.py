@@ -171,6 +171,16 @@ def test_jaccard(spark, monkeypatch, n, num, den, chunk):
     assert got == components(rows, n, num, den)
 
 
+def test_jaccard_of_few_words_alone(spark):
+    for n in (3, 5):
+        for k in range(1, 8):
+            words = "one two three four five six seven".split()[:k]
+            alone = jaccard.shingle_sets([" ".join(words)], n)[0]
+            assert len(alone) == max(1, k - n + 1) and np.array_equal(alone, jaccard.shingle_sets([" ".join(words), "long " * 20], n)[0])
+    df = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.join(df, n=5, bits=18).collect()] == [(1, 1, 1)]
+
+
 def test_jaccard_keeps_one(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "q r s t u v w"), (None, "a b c d e f g"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
