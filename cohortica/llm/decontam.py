@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
+"""Benchmark decontamination by exact similarity of item-sized windows and their SimHash, in DataFrame functions only.
 
 Words are lower-cased runs of letters, digits and characters beyond ASCII;
 shingles are five of them (an item with fewer words is one shingle).
@@ -10,13 +10,12 @@ shingles are five of them (an item with fewer words is one shingle).
    lacks, so every start between them is windowed, wherever the item was edited.
    Of w and m shingles with similarity 0.8, 4/9 (w + m) are common: windows that
    hold fewer of the item's shingles are left out, without loss.
-3. Windows whose 64-bit SimHash, weighted by how often a shingle occurs, is at
-   most RADIUS bits from the item's are verified by exact weighted Jaccard
-   similarity (sum of the smaller counts over sum of the larger).
+3. These are verified by exact weighted Jaccard similarity (sum of the smaller
+   counts over sum of the larger).  The best one's 64-bit SimHash, weighted by how
+   often a shingle occurs, is compared with the item's and their distance reported.
 
-RADIUS 20 is four standard deviations beyond the mean distance (9.7 bits) of
-two windows of similarity 0.8, so the fingerprints lose about one borderline
-pair in 10,000 and none of the closer ones.
+Fingerprints leave nothing out: the distance of short windows scatters too much
+for any radius that would spare work and lose no pair.
 
 Nulls and edge cases: a null or wordless text, and such an item, matches
 nothing; a text shorter than an item is one window; repeated items and rows are
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from cohortica.llm import common
 
 SHINGLE = 5
-RADIUS = 20
+#: Largest distance of two fingerprints: none is a reason to leave a window out.
+RADIUS = 64
 #: Item shingles up to this many are a literal set and a broadcast table; beyond it the same steps are shuffled joins.
 MOST_LITERALS = 100_000
 
@@ -121,23 +121,20 @@ def _search(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
         .join(held, "key")
         .select("key", "passage", "start_word", F.slice("shingles", F.col("start_word") + 1, F.col("width")).alias("window"))
     )
-    met = (
-        windows.join(passages, "passage")
-        .withColumn("hamming", F.bit_count(simhash("window").bitwiseXOR(F.col("item_print"))))
-        .where(F.col("hamming") <= RADIUS)
-    )
     same = F.size(F.array_intersect(_counted("window"), _counted("shingles")))
     best = (
-        met.withColumn("same", same)
+        windows.join(passages, "passage")
+        .withColumn("same", same)
         .withColumn("all", F.size("window") + F.size("shingles") - F.col("same"))
         .where("5 * same >= 4 * all")
         .groupBy("key", "passage")
-        .agg(F.max(F.struct((F.col("same") / F.col("all")).alias("similarity"), (-F.col("start_word")).alias("s"), F.col("hamming"))).alias("best"))
+        .agg(F.max(F.struct((F.col("same") / F.col("all")).alias("similarity"), (-F.col("start_word")).alias("s"), "window", "item_print")).alias("best"))
+        .select("key", "passage", "best.similarity", (-F.col("best.s")).alias("start_word"), F.bit_count(simhash("best.window").bitwiseXOR(F.col("best.item_print"))).alias("hamming"))
     )
     return (
         best.join(items.select("item_id", "passage").distinct(), "passage")
         .groupBy("key", "item_id")
-        .agg(F.max("best").alias("best"))
+        .agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), "hamming")).alias("best"))
         .select("key", "item_id", "best.similarity", (-F.col("best.s")).alias("start_word"), "best.hamming")
     )
 

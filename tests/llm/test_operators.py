@@ -424,6 +424,15 @@ def test_decontamination_of_passages_edited_inside_and_at_both_ends(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.leaks(df, bench).collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_decontamination_loses_no_short_borderline_passage(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_LITERALS", 1)
+    items = [[f"i{k}w{j}" for j in range(9)] for k in range(2000)]
+    df = spark.createDataFrame([(k, " ".join(w[:8])) for k, w in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontam.leaks(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(k, k, 0.8) for k in range(2000)]
+
+
 def test_clean_decides_row_by_row(spark):
     item = "a b c d e f g h"
     rows = [(None, f"x {item} y"), (None, "nothing here at all"), (None, None), (7, item), (7, "another text of this id"), (8, item), (8, item), (9, "last")]
