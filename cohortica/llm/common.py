@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/cohortica"
-#: Word break of the shingle operators: blanks and control white space only.
-SPACE = "[\\x20\\x09-\\x0D]+"
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,18 +45,48 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are bounded by bytes, not by rows alone; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864b").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers live on between tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, parts: int = 1000) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key; ``weight``: about how often ``left`` has it), null where it has none.
+
+    Keys of over 1/parts of all weight, fewer than ``parts`` by that bound, are joined by broadcast, and their rows are
+    dealt anyhow in the join of the others, so that no task gets all rows of one key.
+    """
+    right = materialize(right, "hot-keys")
+    whole = right.agg(F.sum(weight)).first()[0] or 0
+    named = [c for c in right.columns if c != key]
+    hot = right.where(F.col(weight) * parts > whole).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in named])
+    rest = right.where(F.col(weight) * parts <= whole).select(F.col(key).alias("_rest"), F.lit(0).cast("long").alias("_zero"), *[F.col(c).alias(f"_rest_{c}") for c in named])
+    first = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    deal = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.xxhash64(*left.columns).bitwiseOR(F.lit(1))).cast("long")
+    both = first.withColumn("_deal", deal).join(rest, (F.col(key) == F.col("_rest")) & (F.col("_deal") == F.col("_zero")), "left")
+    return both.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_rest_{c}").alias(c) for c in named])
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, _UPPER, _UPPER.lower())
-
-
-def space_words(text: Column) -> Column:
-    """Array of the words between white space; empty for a null or blank text."""
-    trimmed = F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    """A-Z in lower case, nothing else; plain ASCII texts take the fast way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
 def count_space_words(text: Column) -> Column:
@@ -73,8 +104,7 @@ BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def plain_words(text: Column) -> Column:
     """Array of the words of an ASCII-lower-cased text; empty for a null text or one without words."""
-    trimmed = F.regexp_replace(ascii_lower(text), f"^{BREAK}|{BREAK}$", "")
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BREAK), ""), F.array().cast("array<string>"))
 
 
 def shingle_hashes(words: str, n: int) -> Column:
