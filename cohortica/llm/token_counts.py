@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortica.llm import common
+
 SPAN = 1024
 
 
@@ -42,6 +44,7 @@ def lengths(docs: DataFrame, path: str | None = None, pattern: str | None = None
         import public_tokenizers
 
         path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    common.bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -53,8 +56,8 @@ def lengths(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def histogram(counts: DataFrame) -> DataFrame:
-    """n_tokens, n_docs."""
-    return counts.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """n_tokens, n_docs; written once, so that no reader of it encodes the texts again."""
+    return common.materialize(counts.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "token-histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
