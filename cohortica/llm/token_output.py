@@ -1,17 +1,23 @@
 """Token ids in files of an adaptive context-mixing range coder.
 
-Ids are coded in blocks of ``BLOCK``; each starts with empty models, has its own
-checksum and can be read alone.  Per id, order-2 and order-1 tables predict the
-id that last followed the context.  Two adaptive estimates (by the confidence of
-both tables, by the last outcomes) of which prediction holds are mixed by
-weights that follow their likelihood; the outcome, and where neither holds the
-id itself by an order-0 model of its four hexadecimal digits, drive a range
-coder.  All blocks of a chunk are coded in step with numpy, a lane each.
+Ids are coded in blocks; each starts with empty models, has its own checksum and
+can be read alone.  Per id, order 2 and order 1 predict the id that last followed
+the context.  Whether each holds is coded with a probability that mixes two
+adaptive estimates (by the confidence of both orders, by the last outcomes) in
+the logistic domain, with weights that learn from every miss.  Where neither
+holds, order 0 codes the id's four hexadecimal digits with adaptive frequencies.
+A range coder of 32 bits is driven by all of them.
+
+An id's code depends on the model all ids before it left, so a block is one
+sequential loop of integers, which no column expression or array operation can
+express.  It is the Java function ``coder.java``, built in the driver by the
+compiler that Spark uses for its own generated code and sent to the executors
+with ADD JAR.  The tokenizer and everything else are Python and DataFrames.
 
 A file is a Parquet table of chunks (Spark's committer makes writing safe
 against lost executors; any store it reads will do).  ``blob`` of a row:
 
-    "CMX1" | documents u32 | blocks u32 | crc32 of the rest of the head u32
+    "CMX2" | documents u32 | blocks u32 | crc32 of the rest of the head u32
     per document: null flag u8, doc_id i64, ids u32
     per block: ids u32, bytes u32, crc32 of the ids as u32 little-endian
     the blocks' bytes
@@ -19,264 +25,109 @@ against lost executors; any store it reads will do).  ``blob`` of a row:
 Chunks hold whole documents, about ``CHUNK`` ids, in ascending doc_id.
 
 Nulls and edge cases: a null text is empty and, as any empty text, just the end
-id; null ids come first; repeated ids are ordered by text; an empty table gives
-an empty result.  Only id and text are read, so extra columns cannot clash.
+id; null ids come first, ordered by text, in one part, since nothing but their
+order could part them; repeated ids are ordered by text; ids of 65,536 and more
+are refused; an empty table gives an empty result.  Only id and text are read,
+so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import struct
 import uuid
-import zlib
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortica.llm import common
 
-BLOCK, CHUNK = 4096, 1 << 21
+CHUNK = 1 << 20
 END = 0
-_TOP, _BOTTOM, _MASK = 1 << 24, 1 << 16, (1 << 32) - 1
-_H1, _H2 = 12, 13
-_RISE, _MOST = 24, 1 << 13
-
-
-class _Models:
-    """Adaptive state of all lanes: prediction tables, outcome estimates, mixing weights, digit frequencies."""
-
-    def __init__(self, lanes: int):
-        self.next1, self.sure1 = np.zeros((lanes, 1 << _H1), np.uint16), np.zeros((lanes, 1 << _H1), np.uint8)
-        self.next2, self.sure2 = np.zeros((lanes, 1 << _H2), np.uint16), np.zeros((lanes, 1 << _H2), np.uint8)
-        self.by_sure, self.by_last = np.ones((lanes, 16, 3)), np.ones((lanes, 27, 3))
-        self.by_sure[:, :, 2] = self.by_last[:, :, 2] = 4.0
-        self.weight = np.full(lanes, 0.5)
-        self.last = np.full(lanes, 26)
-        self.digits = np.ones((lanes, 4369, 16), np.uint16)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, at: np.ndarray):
-        """Frequencies of the outcomes (order 2 holds, order 1 holds, neither) of the lanes ``at``."""
-        p1, p2 = self.prev1[at], self.prev2[at]
-        s1 = (p1 * 40503 >> 4) & ((1 << _H1) - 1)
-        s2 = ((p1 * 40503 + p2 * 60493) >> 3) & ((1 << _H2) - 1)
-        c1, c2 = self.next1[at, s1], self.next2[at, s2]
-        sure = self.sure2[at, s2].astype(np.int64) * 4 + self.sure1[at, s1]
-        a, b, w = self.by_sure[at, sure], self.by_last[at, self.last[at]], self.weight[at]
-        a, b = a / a.sum(axis=1)[:, None], b / b.sum(axis=1)[:, None]
-        freq = ((a * w[:, None] + b * (1 - w)[:, None]) * 4080).astype(np.int64) + 1
-        freq[c1 == c2, 1] = 0
-        return s1, s2, c1, c2, sure, a, b, freq
-
-    def learn(self, at: np.ndarray, ids: np.ndarray, outcome: np.ndarray, seen) -> None:
-        s1, s2, c1, c2, sure, a, b, _ = seen
-        rows = np.arange(len(at))
-        pa, pb, w = a[rows, outcome], b[rows, outcome], self.weight[at]
-        self.weight[at] = np.clip(w * pa / (w * pa + (1 - w) * pb) * 0.98 + 0.01, 0.02, 0.98)
-        last = self.last[at]
-        for table, slot in ((self.by_sure, sure), (self.by_last, last)):
-            table[at, slot] *= 0.98
-            table[at, slot, outcome] += 1.0
-            table[at, slot] += 0.004
-        self.last[at] = last % 9 * 3 + outcome
-        for nexts, sures, slot, told in ((self.next1, self.sure1, s1, c1), (self.next2, self.sure2, s2, c2)):
-            right = told == ids
-            sures[at, slot] = np.where(right, np.minimum(sures[at, slot] + 1, 3), 0)
-            nexts[at, slot] = ids
-        self.prev2[at] = self.prev1[at]
-        self.prev1[at] = ids
-
-    def digit(self, at: np.ndarray, node: np.ndarray):
-        freq = self.digits[at, node].astype(np.int64)
-        return freq, np.cumsum(freq, axis=1)
-
-    def digit_learn(self, at, node, digit, total) -> None:
-        self.digits[at, node, digit] += _RISE
-        full = total > _MOST
-        if full.any():
-            a, n = at[full], node[full]
-            self.digits[a, n] = (self.digits[a, n] >> 1) | 1
-
-
-def _node(depth: int, upper: np.ndarray) -> np.ndarray:
-    return (0, 1, 17, 273)[depth] + upper
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """A code of each run of BLOCK ids (below 65,536); the last may be shorter."""
-    lanes = -(-len(ids) // BLOCK)
-    sizes = np.full(lanes, BLOCK)
-    if lanes:
-        sizes[-1] = len(ids) - BLOCK * (lanes - 1)
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.reshape(-1)[: len(ids)] = ids
-    m = _Models(lanes)
-    low, wide = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out, used = np.zeros((lanes, BLOCK * 4 + 16), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(at, below, freq, total):
-        nonlocal out
-        r = wide[at] // total
-        lo, w = (low[at] + r * below) & _MASK, r * freq
-        now = np.arange(len(at))
-        while True:
-            a, b = lo[now], w[now]
-            straddles = (a ^ ((a + b) & _MASK)) >= _TOP
-            straddles |= a + b > _MASK
-            short = straddles & (b < _BOTTOM)
-            if short.any():
-                w[now[short]] = -a[short] & (_BOTTOM - 1)
-            now = now[~straddles | short]
-            if not len(now):
-                break
-            lane = at[now]
-            if used[lane].max() + 8 > out.shape[1]:
-                out = np.hstack([out, np.zeros_like(out)])
-            out[lane, used[lane]] = lo[now] >> 24
-            used[lane] += 1
-            lo[now] = lo[now] << 8 & _MASK
-            w[now] = w[now] << 8 & _MASK
-        low[at], wide[at] = lo, w
-
-    for t in range(BLOCK if lanes > 1 else int(sizes.max(initial=0))):
-        at = np.arange(lanes) if t < sizes[-1] else np.arange(lanes - 1)
-        now = grid[at, t]
-        seen = m.predict(at)
-        outcome = np.where(now == seen[3], 0, np.where(now == seen[2], 1, 2))
-        freq = seen[7]
-        upto = np.cumsum(freq, axis=1)
-        rows = np.arange(len(at))
-        put(at, upto[rows, outcome] - freq[rows, outcome], freq[rows, outcome], upto[:, 2])
-        plain = outcome == 2
-        if plain.any():
-            who, what = at[plain], now[plain]
-            rows = np.arange(len(who))
-            for depth in range(4):
-                node, digit = _node(depth, what >> (16 - 4 * depth)), what >> (12 - 4 * depth) & 15
-                f, c = m.digit(who, node)
-                put(who, c[rows, digit] - f[rows, digit], f[rows, digit], c[:, 15])
-                m.digit_learn(who, node, digit, c[:, 15])
-        m.learn(at, now, outcome, seen)
-    for k in range(4):
-        if used.max(initial=0) + 8 > out.shape[1]:
-            out = np.hstack([out, np.zeros_like(out)])
-        out[np.arange(lanes), used] = low >> (24 - 8 * k) & 255
-        used += 1
-    return [out[i, : used[i]].tobytes() for i in range(lanes)]
-
-
-def decode_blocks(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """Inverse of :func:`encode_blocks`; the blocks may come from anywhere."""
-    order = sorted(range(len(codes)), key=lambda i: -sizes[i])
-    lanes = len(codes)
-    length = np.array([sizes[i] for i in order], np.int64)
-    data = np.zeros((lanes, max(map(len, codes), default=0) + 8), np.uint8)
-    for lane, i in enumerate(order):
-        data[lane, : len(codes[i])] = np.frombuffer(codes[i], np.uint8)
-    grid = np.zeros((lanes, int(length.max(initial=0))), np.uint32)
-    m = _Models(lanes)
-    low, wide = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    every = np.arange(lanes)
-    code, used = np.zeros(lanes, np.int64), np.full(lanes, 4, np.int64)
-    for k in range(4):
-        code = code << 8 | data[:, k]
-
-    def value(at, total):
-        r = wide[at] // total
-        return r, np.minimum(((code[at] - low[at]) & _MASK) // r, total - 1)
-
-    def take(at, r, below, freq):
-        lo, w, c = (low[at] + r * below) & _MASK, r * freq, code[at]
-        now = np.arange(len(at))
-        while True:
-            a, b = lo[now], w[now]
-            straddles = (a ^ ((a + b) & _MASK)) >= _TOP
-            straddles |= a + b > _MASK
-            short = straddles & (b < _BOTTOM)
-            if short.any():
-                w[now[short]] = -a[short] & (_BOTTOM - 1)
-            now = now[~straddles | short]
-            if not len(now):
-                break
-            lane = at[now]
-            c[now] = (c[now] << 8 | data[lane, used[lane]]) & _MASK
-            used[lane] += 1
-            lo[now] = lo[now] << 8 & _MASK
-            w[now] = w[now] << 8 & _MASK
-        low[at], wide[at], code[at] = lo, w, c
-
-    for t in range(int(length.max(initial=0))):
-        at = every[: int(np.searchsorted(-length, -t, side="left"))]
-        seen = m.predict(at)
-        freq = seen[7]
-        upto = np.cumsum(freq, axis=1)
-        rows = np.arange(len(at))
-        r, v = value(at, upto[:, 2])
-        outcome = (upto <= v[:, None]).sum(axis=1)
-        take(at, r, upto[rows, outcome] - freq[rows, outcome], freq[rows, outcome])
-        now = np.where(outcome == 0, seen[3], seen[2]).astype(np.int64)
-        plain = outcome == 2
-        if plain.any():
-            who, what = at[plain], np.zeros(int(plain.sum()), np.int64)
-            rows = np.arange(len(who))
-            for depth in range(4):
-                node = _node(depth, what)
-                f, c = m.digit(who, node)
-                r, v = value(who, c[:, 15])
-                digit = (c <= v[:, None]).sum(axis=1)
-                take(who, r, c[rows, digit] - f[rows, digit], f[rows, digit])
-                m.digit_learn(who, node, digit, c[:, 15])
-                what = what << 4 | digit
-            now[plain] = what
-        m.learn(at, now, outcome, seen)
-        grid[at, t] = now
-    out: list = [None] * lanes
-    for lane, i in enumerate(order):
-        out[i] = grid[lane, : sizes[i]]
-    return out
-
-
-def pack_chunk(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
-    codes = encode_blocks(ids)
-    table = b"".join(struct.pack("<BqI", d is None, d or 0, n) for d, n in zip(doc_ids, counts, strict=True))
-    index = b"".join(
-        struct.pack("<III", len(part := ids[i * BLOCK : (i + 1) * BLOCK]), len(c), zlib.crc32(part.astype("<u4").tobytes())) for i, c in enumerate(codes)
-    )
-    return b"CMX1" + struct.pack("<III", len(doc_ids), len(codes), zlib.crc32(table + index)) + table + index + b"".join(codes)
-
-
-def unpack_chunk(blob: bytes) -> tuple[list, list[int], np.ndarray]:
-    """doc ids, ids a document, all ids; ValueError if a checksum does not hold."""
-    docs, blocks, crc = struct.unpack_from("<III", blob, 4)
-    at = 16 + 13 * docs + 12 * blocks
-    if blob[:4] != b"CMX1" or zlib.crc32(blob[16:at]) != crc:
-        raise ValueError("the chunk's head is damaged")
-    table = list(struct.iter_unpack("<BqI", blob[16 : 16 + 13 * docs]))
-    index = list(struct.iter_unpack("<III", blob[16 + 13 * docs : at]))
-    codes = []
-    for _, size, _ in index:
-        codes.append(blob[at : at + size])
-        at += size
-    parts = decode_blocks(codes, [n for n, _, _ in index])
-    for (_, _, crc), part in zip(index, parts, strict=True):
-        if zlib.crc32(part.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block is damaged")
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    return [None if null else d for null, d, _ in table], [n for _, _, n in table], ids
+_FUNCTIONS = {"Encode": "binary", "Digest": "array<bigint>", "Decode": "binary"}
+_FILES = "part int, chunk int, part_start long, n_ids long, blob binary"
+#: Class loader of the built functions, by application.
+_built: dict[str, object] = {}
+
+
+def _build(spark: SparkSession):
+    """Compiles ``coder.java`` and adds it, as a jar in the shared folder, to the application."""
+    jvm = spark.sparkContext._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(Path(__file__).with_name("coder.java").read_text())
+    classes, jar = compiler.getBytecodes(), io.BytesIO()
+    with zipfile.ZipFile(jar, "w") as z:
+        for c in classes:
+            z.writestr(c.replace(".", "/") + ".class", bytes(classes[c]))
+    path = jvm.org.apache.hadoop.fs.Path(f"{common.workspace(spark).rstrip('/')}/coder-{uuid.uuid4().hex}.jar")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(jar.getvalue())
+    out.close()
+    spark.sql(f"ADD JAR '{path.toString()}'")
+    return compiler.getClassLoader()
+
+
+def _function(spark: SparkSession, name: str) -> str:
+    """Registers the Java function ``name`` in this session and returns its name in SQL."""
+    app, sql = spark.sparkContext.applicationId, f"cohortica_{name.lower()}"
+    if app not in _built:
+        _built.clear()
+        _built[app] = _build(spark)
+    if not spark.catalog.functionExists(sql):
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.Object, 0)
+        made = _built[app].loadClass(f"cohortica.coder.{name}").getConstructors()[0].newInstance(none)
+        session = spark._jsparkSession
+        session.udf().register(sql, made, session.parseDataType(T._parse_datatype_string(_FUNCTIONS[name]).json()))
+    return sql
+
+
+def _call(spark: SparkSession, name: str, *columns: str) -> Column:
+    return F.call_function(_function(spark, name), *[F.col(c) for c in columns])
+
+
+class _Known(dict):
+    """Codes of strings by ``make``, in two generations of at most ``MOST``: what nobody asks for goes with the older one."""
+
+    MOST, LONG = 450_000, 64
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        code = self.old.get(key)
+        if code is None:
+            code = self.make(key)
+        if len(key) <= self.LONG:
+            if len(self) >= self.MOST:
+                self.old = dict(self)
+                self.clear()
+            self[key] = code
+        return code
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word of a task once.
-
-    Its byte-level pre-tokenizer cuts a text by the published pattern and merges
-    inside the pieces only, so the ids of a text are those of its pieces.  A text
-    that holds a special token goes to the library whole.
+    """Ids, as little-endian unsigned 16-bit integers, of whole texts by the tokenizers library.
+
+    Its byte-level pre-tokenizer cuts a text by the published pattern, and its
+    model merges inside the pieces only, so the library's model sees each distinct
+    piece once.  No piece holds a blank after anything else, and of white space
+    before other text the last blank belongs to what follows: a text is first cut
+    at its blanks, and known units are not cut further.  Texts with a blank between
+    other white space, or with a special token, go to the library whole.
     """
 
-    MOST = 400_000
+    _INNER = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -284,30 +135,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words, known = self.cut(text), self.known
-        if len(known) > self.MOST:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        return [i for w in words for i in known[w]]
-
-
-def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-          parts: int | None = None) -> None:
-    """Encodes every whole text, appends END to each and writes the chunks, in ascending id, below ``folder``."""
+        # The visible character of each byte, as the library's byte-level alphabet has it.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        alphabet = {b: b if b in shown else 256 + k for k, b in enumerate(sorted(range(256), key=lambda b: b in shown))}
+        merge, cut, blank = self.tokenizer.model.tokenize, regex.compile(pattern).findall, chr(alphabet[32])
+
+        def piece(p: str) -> bytes:
+            plain = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(alphabet)
+            return self._raw([t.id for t in merge(plain)])
+
+        pieces = _Known(piece).__getitem__
+        self.whole = lambda unit: b"".join(map(pieces, cut(unit)))
+        self.unit = _Known(lambda unit: self.whole(" " + unit)).__getitem__
+
+    @staticmethod
+    def _raw(ids: list[int]) -> bytes:
+        if ids and max(ids) > 0xFFFF:
+            raise ValueError("ids of 65,536 and more do not fit the file format")
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or self._INNER.search(text):
+            return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        head, *rest = text.split(" ")
+        return self.whole(head) + b"".join(map(self.unit, rest))
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One a Python worker, whose tasks share what it knows."""
+    return Encoder(path, pattern)
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
+    """Encodes every whole text, appends END to each and writes the chunks, in ascending id, below ``folder``.
+
+    ``path`` is a file of a byte-level tokenizer that every executor has (with the
+    library that ships it), ``pattern`` the regular expression of its pre-tokenizer.
+    """
     if path is None:
         import public_tokenizers
 
         path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    parts = parts or common.task_count(docs.sparkSession)
+    spark = docs.sparkSession
+    common.bound_batches(spark)
+    parts = parts or common.task_count(spark)
     ids = F.col(id_col).cast("long")
     cuts = docs.agg(F.percentile_approx(ids, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted({int(c) for c in cuts})
@@ -317,17 +190,17 @@ def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str |
     )
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, now, start, number = Encoder(path, pattern), None, 0, 0
-        doc_ids, counts, held, size = [], [], [], 0
+        encoder, now, start, number = _encoder(path, pattern), None, 0, 0
+        documents, held, size = [], [], 0
 
         def flush():
-            nonlocal doc_ids, counts, held, size, start, number
-            blob = pack_chunk(doc_ids, counts, np.concatenate(held).astype(np.int64))
-            row = pd.DataFrame({"part": [now], "chunk": [number], "part_start": [start], "n_ids": [size], "blob": [blob]})
+            nonlocal documents, held, size, start, number
+            row = pd.DataFrame({"part": [now], "chunk": [number], "part_start": [start], "n_ids": [size], "documents": [b"".join(documents)], "ids": [b"".join(held)]})
             start, number = start + size, number + 1
-            doc_ids, counts, held, size = [], [], [], 0
+            documents, held, size = [], [], 0
             return row
 
+        end = struct.pack("<H", END)
         for batch in batches:
             null = batch["doc_id"].isna()
             for p, d, absent, text in zip(batch["part"], batch["doc_id"], null, batch["text"], strict=True):
@@ -335,45 +208,56 @@ def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str |
                     yield flush()
                 if p != now:
                     now, start, number = p, 0, 0
-                got = encoder.ids(text)
-                got.append(END)
-                doc_ids.append(None if absent else int(d))
-                counts.append(len(got))
-                held.append(np.array(got, np.uint16))
-                size += len(got)
+                got = encoder.ids(text) + end
+                documents.append(struct.pack("<BqI", absent, 0 if absent else int(d), len(got) // 2))
+                held.append(got)
+                size += len(got) // 2
         if held:
             yield flush()
 
     dealt = rows.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInPandas(chunks, "part int, chunk int, part_start long, n_ids long, blob binary").write.parquet(folder)
+    plain = dealt.mapInPandas(chunks, "part int, chunk int, part_start long, n_ids long, documents binary, ids binary")
+    plain.select("part", "chunk", "part_start", "n_ids", _call(spark, "Encode", "documents", "ids").alias("blob")).write.parquet(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files, in any order."""
-    files = spark.read.schema("part int, chunk int, part_start long, n_ids long, blob binary").parquet(folder)
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """first (ids before the chunk in the whole table), blob."""
+    files = spark.read.schema(_FILES).parquet(folder)
     totals = sorted((x.part, x.n) for x in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row a part
     offsets, before = [], 0
     for p, n in totals:
         offsets.append((p, before))
         before += n
     table = spark.createDataFrame(offsets, "part int, part_offset long")
+    return files.join(F.broadcast(table), "part").select((F.col("part_offset") + F.col("part_start")).alias("first"), "blob")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files, in any order."""
+    chunks = common.once(_placed(spark, folder), "x", _call(spark, "Digest", "blob")).select("first", "x")
+    at = lambda i, k: F.get("x", (5 * i + k).cast("int"))
+    rows = F.transform(F.sequence(F.lit(0), (F.size("x") / 5).cast("int") - 1), lambda i: F.struct(
+        F.when(at(i, 0) == 0, at(i, 1)).alias("doc_id"), (F.col("first") + at(i, 2)).alias("start"), at(i, 3).alias("n_tokens"), at(i, 4).alias("ids_crc32")))
+    return chunks.select(F.inline(rows))
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, ids (with END) of every document in the files, in any order."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, blob in zip(batch["first"], batch["blob"], strict=True):
-                doc_ids, counts, ids = unpack_chunk(blob)
-                ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
+            for first, n, raw in zip(batch["first"], batch["n"], batch["raw"], strict=True):
+                table = list(struct.iter_unpack("<BqI", raw[: 13 * n]))
+                ids = np.frombuffer(raw[13 * n :], "<u2").astype(np.int32)
+                ends = np.cumsum([k for _, _, k in table])
                 yield pd.DataFrame({
-                    "doc_id": pd.array(doc_ids, dtype="Int64"), "start": first + ends - counts, "n_tokens": counts,
-                    "ids_crc32": [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends, counts, strict=True)],
+                    "doc_id": pd.array([None if null else d for null, d, _ in table], dtype="Int64"), "start": [first + e - k for e, (_, _, k) in zip(ends, table, strict=True)],
+                    "ids": [ids[e - k : e] for e, (_, _, k) in zip(ends, table, strict=True)],
                 })
 
-    return (
-        files.join(F.broadcast(table), "part")
-        .select((F.col("part_offset") + F.col("part_start")).alias("first"), "blob")
-        .mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    )
+    count = F.conv(F.hex(F.reverse(F.substring(F.col("blob"), 5, 4))), 16, 10).cast("int")
+    decoded = common.once(_placed(spark, folder), "raw", _call(spark, "Decode", "blob"))
+    return decoded.select("first", count.alias("n"), "raw").mapInPandas(rows, "doc_id long, start long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, **how) -> DataFrame:
