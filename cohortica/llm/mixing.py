@@ -31,6 +31,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Phase multipliers by rank of the source, repeating: steady, rising, falling.
 SCHEDULES = ((1.0, 1.0, 1.0, 1.0), (0.5, 0.8, 1.2, 1.5), (1.5, 1.2, 0.8, 0.5))
+#: Sources up to this many are broadcast; a list of more is joined by shuffle.
+MOST_BROADCAST = 10_000
 _ADDED = ("size", "source_size", "target", "positions")
 
 
@@ -57,7 +59,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """``docs`` with size, source_size, target and positions (one per copy taken, rising).
 
     The driver holds one row per source (the list of sources a mix names weights
-    for); documents are never collected.
+    for); documents are never collected.  Up to MOST_BROADCAST sources are broadcast.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in _ADDED]
@@ -77,7 +79,8 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             ends.append(ends[-1] + p)
         large = next(b for b in range(1, 64) if (1 << (b - 1)) * LARGE > x.n)
         table.append((x._source, x.n, t, large, [e / ends[-1] for e in ends]))
-    goals = F.broadcast(spark.createDataFrame(table, "_s string, source_size long, target double, _large int, _ends array<double>"))
+    few = F.broadcast if len(table) <= MOST_BROADCAST else (lambda x: x)
+    goals = few(spark.createDataFrame(table, "_s string, source_size long, target double, _large int, _ends array<double>"))
     late = (F.col("_bits") < F.col("_large")).alias("_late")
     before = Window.partitionBy("_source").orderBy("_late", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -92,7 +95,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .withColumn("_late", late)
         .withColumn("_upto", F.sum("size").over(inside))
         # Two rows per source and bucket at most: 2 * 256 times the driver's list of sources.
-        .join(F.broadcast(starts), F.col("_source").eqNullSafe(F.col("_f")) & (F.col("_late") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
+        .join(few(starts), F.col("_source").eqNullSafe(F.col("_f")) & (F.col("_late") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
         .withColumn("_end", F.col("_start") + F.col("_upto"))
     )
     # A copy is taken when its middle lies within the demand; pass k over the source is shifted by k * source_size.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortica.llm import decontam, fingerprint, html_extract, jaccard, licenses, mixing, quality, sharding, token_counts, token_output
+from cohortica.llm import common, decontam, fingerprint, html_extract, jaccard, licenses, mixing, quality, sharding, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,14 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.place(_table(spark, sf_dir, "documents"))
-    return placed.select(
+    """Sizes, targets and words taken, range-sorted by the training position of a document's first copy."""
+    placed = mixing.place(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    facts = common.materialize(placed.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         (F.size("positions") * F.col("size")).cast("long").alias("taken"),
-    )
+        F.round(F.array_min("positions"), 6).alias("first_position"), F.round(F.array_max("positions"), 6).alias("last_position"),
+    ), "mix-placed")
+    return facts.repartitionByRange(common.task_count(spark), "first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 OP8_SQL = """
@@ -50,20 +53,31 @@ WITH rows AS (
 sums AS (SELECT source, sum(size)::BIGINT AS n FROM rows GROUP BY source),
 ranked AS (
   SELECT source, n, 1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w FROM sums),
+phases AS (  -- the schedule of a source by its weight, and its integral at the ends of the phases
+  SELECT w, list_transform(range(0, 5), lambda j: coalesce(list_sum(p[1:j]), 0.0) / list_sum(p)) AS ends
+  FROM (VALUES (1, [1.0::DOUBLE, 1.0, 1.0, 1.0]), (2, [0.5::DOUBLE, 0.8, 1.2, 1.5]), (3, [1.5::DOUBLE, 1.2, 0.8, 0.5])) AS s(w, p)),
 capped AS (
   SELECT *, sum(3 * n) OVER before AS fixed, (SELECT sum(w) FROM ranked) - coalesce(sum(w) OVER before, 0) AS rest
   FROM ranked WINDOW before AS (ORDER BY 3.0 * n / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (
   SELECT coalesce(arg_min(((SELECT sum(n) FROM ranked) - coalesce(fixed, 0)) / rest, 3.0 * n / w)
            FILTER (WHERE ((SELECT sum(n) FROM ranked) - coalesce(fixed, 0)) / rest < 3.0 * n / w), 1e300) AS x FROM capped),
-goals AS (SELECT source, n, least(3.0 * n, w * x) AS target FROM ranked, level),
+goals AS (SELECT source, n, least(3.0 * n, ranked.w * x) AS target, ends FROM ranked, level JOIN phases ON phases.w = ranked.w),
 placed AS (
-  SELECT rows.*, n, target,
-         sum(size) OVER (PARTITION BY rows.source ORDER BY (1::BIGINT << (length(bin(size)) - 1)) * 256 <= n, k, doc_id, r ROWS UNBOUNDED PRECEDING) - size / 2.0 AS mid
-  FROM rows JOIN goals ON rows.source IS NOT DISTINCT FROM goals.source)
-SELECT doc_id, size::BIGINT AS size, n AS source_size, round(target, 6) AS target,
-       (size * ((mid <= target)::INT + (mid + n <= target)::INT + (mid + 2 * n <= target)::INT))::BIGINT AS taken
-FROM placed
+  SELECT rows.*, n, target, ends,
+         sum(size) OVER (PARTITION BY rows.source ORDER BY (1::BIGINT << (length(bin(size)) - 1)) * 256 <= n, k, doc_id, r ROWS UNBOUNDED PRECEDING) AS upto
+  FROM rows JOIN goals ON rows.source IS NOT DISTINCT FROM goals.source),
+copies AS (  -- cumulative demand at the end of each copy taken
+  SELECT *, list_transform(list_filter(range(0, 3), lambda c: upto - size / 2.0 + c * n <= target),
+                           lambda c: least(1.0::DOUBLE, ((upto + c * n) / greatest(target, 1e-9))::DOUBLE)) AS demand
+  FROM placed),
+inverted AS (
+  SELECT *, list_transform(demand, lambda u: list_extract(list_transform([greatest(len(list_filter(ends, lambda e: e < u)), 1)],
+              lambda j: (j - 1 + (u - ends[j]) / (ends[j + 1] - ends[j])) / 4.0), 1)) AS positions
+  FROM copies)
+SELECT doc_id, size::BIGINT AS size, n AS source_size, round(target, 6) AS target, (size * len(positions))::BIGINT AS taken,
+       round(list_min(positions), 6) AS first_position, round(list_max(positions), 6) AS last_position
+FROM inverted
 """
 
 
