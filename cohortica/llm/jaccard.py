@@ -47,13 +47,17 @@ from cohortica.llm import common
 
 CHUNK = 256
 #: Tokens of the members and of the queries that one task compares at once.
-TASK_TOKENS = 1_000_000
+TASK_TOKENS = 500_000
 #: Tokens of their prefixes that a class and a group must share; the prefixes are longer by as many less one.
 DEPTH = 4
+#: Characters that are cut into shingles at once, about 60 bytes of arrays each; bytes of texts that are Python objects at once.
+SLICE_CHARS, SLICE_BYTES = 400_000, 2 << 20
 #: Tokens in at least SHARED texts go last in the order; the driver holds MOST_SHARED of them, the most frequent.
 SHARED, MOST_SHARED = 20, 200_000
 #: Bits of the maps that keep rows nobody asks for out of shuffles: 2**26 bits are 8 MB, whatever the input.
 MAP_BITS = 26
+#: Below so many edges a join by node needs no care for hubs.
+FEW_EDGES = 200_000
 
 _U = np.uint64
 _FACTORS = (np.arange(1, 17, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -73,7 +77,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     start = 0
     while start < len(texts):
         stop, size, words = start, 0, []
-        while stop < len(texts) and size < 2_000_000:
+        while stop < len(texts) and size < SLICE_CHARS:
             words.append((texts[stop] or "").encode("utf-8", "surrogatepass").lower().split())
             size += len(texts[stop] or "")
             stop += 1
@@ -197,11 +201,14 @@ def _id_hash(ids: pa.Array) -> np.ndarray:
 # -- stages -------------------------------------------------------------------------------------------------------------
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Small pieces of Arrow batches: long texts become Python objects a few at a time."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of Arrow batches of about SLICE_BYTES: texts become Python objects a few at a time."""
     for b in batches:
+        pieces = max(1, -(-b.nbytes // SLICE_BYTES))
+        rows = max(1, -(-b.num_rows // pieces))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    common.trim()
 
 
 def _facts(docs: DataFrame, n: int) -> DataFrame:
@@ -337,20 +344,22 @@ def _open_groups(rows: DataFrame, limit: Threshold) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the least key of its component) of every end of ``edges`` (a, b): large and small stars by turns."""
     edges = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    before = None
+    before, count = None, edges.count()
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        # With few edges no node has many; else the hubs' edges are spread over tasks.
+        at = (lambda x, y, key: x.join(y, key)) if count < FEW_EDGES else (lambda x, y, key: common.join_hot(x, y, key, "n"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = at(both.where("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = at(large, least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = common.materialize(small.where("a <> b").distinct(), "components")
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         common.discard(edges)
         edges = new
         if (state.n, state.h) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        before = (state.n, state.h)
+        before, count = (state.n, state.h), state.n
 
 
 def _cut(members: DataFrame) -> DataFrame:
@@ -416,13 +425,15 @@ def _explode(keep: _Bits | None):
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", bits: int = MAP_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: rows are linked when num/den of their shingles' union is common."""
     rooted = _rooted(docs, F.lit(None).cast("binary"), n, num, den, id_col, text_col, bits)
-    names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    named = common.join_hot(rooted.select("doc_id", "n_shingles", "root"), names, "root", "rows")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _rooted(docs: DataFrame, mark: Column, n: int, num: int, den: int, id_col: str, text_col: str, bits: int) -> DataFrame:
     """doc_id, mark, n_shingles, root of every row; rows of one component have one root, those without a shingle none."""
     limit = Threshold(num, den)
+    common.bound_batches(docs.sparkSession)
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark"))
     docs = marked.select("doc_id", "text")
     facts = _facts(marked, n)
@@ -442,7 +453,9 @@ def _rooted(docs: DataFrame, mark: Column, n: int, num: int, den: int, id_col: s
         loose.select("key", F.xxhash64("signature", "chunk").alias("unit"), F.lit(False).alias("connected"))
     )
     cross = common.materialize(_cross_links(docs, classes, units, n, limit, bits), "jaccard-links")
+    common.discard(classes, chunks, near, inner, edges)
     roots = common.materialize(connected(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cross)), "jaccard-roots")
+    common.discard(linked, cross)
     rows = facts.where("kind = 0").select("doc_id", "mark", F.col("size").alias("n_shingles"), "key")
     return rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "mark", "n_shingles", F.coalesce("root", "key").alias("root"))
 
@@ -456,10 +469,10 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: s
     mark = F.unhex(F.md5(F.encode(common.text_or_empty(text_col), "utf-8")))
     rows = _rooted(docs, mark, n, num, den, id_col, text_col, bits).where("doc_id is not null and root is not null")
     rows = rows.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times"))
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("rows"))
     own = F.struct("doc_id", "mark") == F.col("first")
     fate = common.materialize(
-        rows.join(first, "root").where(~own | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), own.alias("_repeated")), "jaccard-fate"
+        common.join_hot(rows, first, "root", "rows").where(~own | (F.col("times") > 1)).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), own.alias("_repeated")), "jaccard-fate"
     )
     same = (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark"))
     repeated = docs.join(fate.where("_repeated"), same)
