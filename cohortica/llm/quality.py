@@ -12,7 +12,8 @@ row is then scored.  Only the text is a feature.
 Nulls and edge cases: null, blank and empty texts have the features of an
 empty text and get a score; labels that are null, or that contradict each other
 for an id, teach nothing; with no pair to learn from every score is 0.5.
-Repeated rows are scored each.  An empty table gives an empty result.
+Repeated rows are scored each; of a repeated id with different texts the one of
+the least features teaches.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.llm import common
+
 MAX_LABELLED = 8_000
 PAIRS = 60_000
 CUT = 0.3
@@ -36,7 +39,6 @@ FEATURES = (
     "distinct", "repeats", "top_word", "stop_short", "commas", "stops", "double_marks", "lines", "repeated_lines", "non_ascii",
     "zip_ratio", "empty",
 )
-_ODD = bytes.maketrans(b"", b"")
 
 
 def features(text: str | None) -> list[float]:
@@ -142,15 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def sheet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["_id"], "label": b["_label"], "x": list(matrix(b["_text"]))})
+        common.trim()
 
-    got = rows.mapInPandas(sheet, kinds).toPandas().drop_duplicates("id").sort_values("id")
+    got = rows.mapInPandas(sheet, kinds).toPandas()
     if got.empty:
         return None
+    got = got.assign(_order=got["x"].map(tuple)).sort_values(["id", "_order"]).drop_duplicates("id")  # of repeated ids the same row whatever the order
     return fit(np.stack(got["x"].to_numpy()), got["label"].to_numpy())
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, **how) -> DataFrame:
     """All columns of ``docs`` with held_out, score and predicted (they replace columns of the same name)."""
+    common.bound_batches(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col, **how)
     kept = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")])
 
@@ -158,6 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series(model.score(matrix(texts)) if model else np.full(len(texts), 0.5))
+        common.trim()
 
     return kept.withColumns({"held_out": held_out(id_col), "score": score(F.col(text_col))}).withColumn(
         "predicted", (F.col("score") >= cut).cast("int")
