@@ -18,7 +18,7 @@ law can then hold only for the rest.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.llm import common
@@ -46,10 +46,11 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _facts(docs: DataFrame, id_col: str, text_col: str, order: tuple[Column, ...]) -> DataFrame:
     text = common.text_or_empty(text_col)
     data = F.encode(text, "utf-8")
     return docs.select(
+        F.struct(*order).alias("order"),
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         common.count_space_words(text).alias("words"),
@@ -58,12 +59,15 @@ def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).withColumn("cell", F.conv(F.substring("group_key", 1, 8), 16, 10).cast("long") % CELLS)
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``."""
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", order: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
+
+    Slots follow ``order`` (columns of ``docs`` that order its rows, such as a training order); without it, a hash.
+    """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
-    facts = common.materialize(_facts(docs, id_col, text_col), "shard-facts")
+    facts = common.materialize(_facts(docs, id_col, text_col, order or (F.lit(0),)), "shard-facts")
     total = facts.agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("r")).first()
     item = facts.groupBy("group_key", "cell").agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("r"))
     heavy = (
@@ -84,10 +88,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         facts.join(F.broadcast(by_group), "group_key", "left")
         .join(F.broadcast(by_cell), "cell", "left")
         .select(
-            "doc_id", "size", "text_crc32", F.coalesce("heavy_shard", "cell_shard").alias("shard"),
+            "doc_id", "size", "text_crc32", "order", F.coalesce("heavy_shard", "cell_shard").alias("shard"),
             F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_BUCKETS)).alias("bucket"),
         )
     )
+    if order:  # buckets are ranges of the order
+        ranges = min(SLOT_BUCKETS, common.task_count(spark))
+        placed = common.materialize(placed.repartitionByRange(ranges, "order").withColumn("bucket", F.spark_partition_id().cast("long")), "shard-ordered")
     return _slots(placed, spark).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -101,7 +108,7 @@ def _slots(placed: DataFrame, spark) -> DataFrame:
         starts.append((x.shard, x.bucket, before.get(x.shard, 0)))
         before[x.shard] = before.get(x.shard, 0) + x["count"]
     offsets = spark.createDataFrame(starts, "shard int, bucket long, start long")
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size"))
     return (
         placed.withColumn("rank", rank)
         .join(F.broadcast(offsets), ["shard", "bucket"])

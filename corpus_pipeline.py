@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortica.llm import common, decontam, jaccard, mixing, quality, sharding
 
@@ -40,8 +41,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every copy."""
-    return sharding.shard(docs, SHARDS)
+    """Shard and slot of every copy; slots follow the training order, which is that of the files and their rows."""
+    ordered = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return sharding.shard(ordered, SHARDS, order=(F.col("_file"), F.col("_row")))
 
 
 STAGES = [
@@ -65,5 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         path = f"{common.workspace(spark).rstrip('/')}/pipeline-{number}-{uuid.uuid4().hex}"
         out.write.parquet(path)
+        if number:
+            common.discard(docs)
         docs = spark.read.parquet(path)
     raise AssertionError("no stage")
