@@ -35,43 +35,43 @@ def test_wide_default(cohort):
     df = wide(cohort)
     assert len(df.columns) == 4 + 2 * (7 + 2 * (1 + 3 * 10)) == 142
     rows = by_patient(df)
-    assert list(rows) == ["P0001", "P0002", "P0003", "P0004"]
-    one = rows["P0001"]
-    assert (one["n_studies"], one["day__t1"], one["day__t2"]) == (2, 0, 420)
-    assert (one["organs__liver__voxel_count__t1"], one["organs__liver__voxel_count__t2"], one["organs__liver__volume_ml__t2"]) == (1010, 3010, 3010 / 128)
-    assert all(v is None for k, v in rows["P0004"].items() if k.endswith("__t2"))
-    two = rows["P0002"]
-    assert (two["qc_status__t1"], two["organs__status__t1"], two["organs__liver__voxel_count__t1"]) == ("rejected", "excluded", None)
-    assert (rows["P0003"]["organs__status__t1"], rows["P0004"]["organs__status__t1"], rows["P0004"]["body_composition__status__t1"]) == ("failed", "ok", "not_run")
-    four = rows["P0004"]
-    assert (four["organs__spleen__voxel_count__t1"], four["organs__liver__volume_ml__t1"], four["organs__liver__touches_border__t1"]) == (None, 9010 / 128, True)
+    assert list(rows) == ["A-11", "A-12", "A-13", "A-14"]
+    one = rows["A-11"]
+    assert (one["n_studies"], one["day__t1"], one["day__t2"]) == (2, 0, 89)
+    assert (one["organs__heart__voxel_count__t1"], one["organs__heart__voxel_count__t2"], one["organs__heart__volume_ml__t2"]) == (fx.count(1, 1), fx.count(3, 1), fx.count(3, 1) / 64)
+    assert all(v is None for k, v in rows["A-14"].items() if k.endswith("__t2"))
+    two = rows["A-12"]
+    assert (two["qc_status__t1"], two["organs__status__t1"], two["organs__heart__voxel_count__t1"]) == ("rejected", "excluded", None)
+    assert (rows["A-13"]["organs__status__t1"], rows["A-14"]["organs__status__t1"], rows["A-14"]["body_composition__status__t1"]) == ("failed", "ok", "not_run")
+    four = rows["A-14"]
+    assert (four["organs__aorta__voxel_count__t1"], four["organs__heart__volume_ml__t1"], four["organs__heart__touches_border__t1"]) == (None, fx.count(9, 1) / 64, True)
 
 
 def test_wide_include_first_last(cohort):
-    two = by_patient(wide(cohort, qc="include"))["P0002"]
-    assert (two["organs__status__t1"], two["organs__liver__voxel_count__t1"]) == ("ok", 7010)
-    for pick, count in (("last", 3010), ("first", 1010)):
+    two = by_patient(wide(cohort, qc="include"))["A-12"]
+    assert (two["organs__status__t1"], two["organs__heart__voxel_count__t1"]) == ("ok", fx.count(7, 1))
+    for pick, count in (("last", fx.count(3, 1)), ("first", fx.count(1, 1))):
         df = wide(cohort, multiple_studies=pick)
-        one = by_patient(df)["P0001"]
-        assert not [c for c in df.columns if "__t1" in c or "__t2" in c] and (one["organs__liver__voxel_count"], one["n_studies"]) == (count, 2)
+        one = by_patient(df)["A-11"]
+        assert not [c for c in df.columns if "__t1" in c or "__t2" in c] and (one["organs__heart__voxel_count"], one["n_studies"]) == (count, 2)
 
 
 def test_wide_all_series_and_row_levels(cohort):
     df = wide(cohort, multiple_series="all")
-    one = by_patient(df)["P0001"]
-    assert (one["organs__liver__voxel_count__t2__s1"], one["organs__liver__voxel_count__t2__s2"]) == (3010, 5010)
-    assert "organs__liver__voxel_count__t1__s2" not in df.columns
+    one = by_patient(df)["A-11"]
+    assert (one["organs__heart__voxel_count__t2__s1"], one["organs__heart__voxel_count__t2__s2"]) == (fx.count(3, 1), fx.count(5, 1))
+    assert "organs__heart__voxel_count__t1__s2" not in df.columns
     assert wide(cohort, row_level="study").count() == 5
     assert wide(cohort, row_level="series", multiple_series="all").count() == 6
 
 
 def test_subsets_dates_identifiers(cohort):
-    df = wide(cohort, patients=["P0001", "P0004", "nobody"], models=[fx.ORGANS], labels=["liver"], metrics=["volume_ml"], multiple_studies="last")
-    assert list(by_patient(df)) == ["P0001", "P0004"] and df.columns[-2:] == ["organs__status", "organs__liver__volume_ml"]
-    assert by_patient(wide(cohort, dates="year"))["P0001"]["year__t2"] == 2021
-    assert by_patient(wide(cohort, dates="iso"))["P0001"]["study_date__t2"] == "2021-03-05"
+    df = wide(cohort, patients=["A-11", "A-14", "nobody"], models=[fx.ORGANS], labels=["heart"], metrics=["volume_ml"], multiple_studies="last")
+    assert list(by_patient(df)) == ["A-11", "A-14"] and df.columns[-2:] == ["organs__status", "organs__heart__volume_ml"]
+    assert by_patient(wide(cohort, dates="year"))["A-11"]["year__t2"] == 2018
+    assert by_patient(wide(cohort, dates="iso"))["A-11"]["study_date__t2"] == "2018-06-01"
     both = wide(cohort, identifiers="both")
-    assert [r["patient_id"] for r in both.collect()] == ["00012345", "1E5", None, "4"]
+    assert [r["patient_id"] for r in both.collect()] == ["0077", "2E3", None, "9"]
     assert len(sheets.warnings(cohort, parse({"identifiers": "both"}))) == 2
     with pytest.raises(ValueError, match="unknown"):
         wide(cohort, models=["unknown"])
@@ -87,24 +87,24 @@ def test_long(cohort, tmp_path):
     df = layouts.long(export.slots(cohort, options), cohort, options)
     sinks.write_csv(df, tmp_path / "long.csv")
     lines = (tmp_path / "long.csv").read_bytes().split(b"\r\n")
-    assert lines[1] == b"P0001,1,0,1,Abdomen 1.0 Br40,organs,1,liver,1010,7.890625,42.25,12.5,42.0,20.5,60.75,-100.0,250.0,FALSE,,accepted,mps,R20261002T120000"
+    assert lines[1] == b"A-11,1,0,1,Chest thin,organs,1,heart,507,7.921875,2.5,4.0,1.5,-8.0,16.0,-50.0,75.0,FALSE,,accepted,cpu,night-7"
     assert df.count() == 14
     include = parse({"layout": "long", "qc": "include"})
     assert layouts.long(export.slots(cohort, include), cohort, include).count() == 21
     sinks.write_csv(df, tmp_path / "excel.csv", excel=True)
     text = (tmp_path / "excel.csv").read_bytes().decode("utf-8-sig")
     rows = list(csv.reader(text.splitlines(), delimiter=";"))
-    assert rows[1][9] == "7,890625" and any(r[4].startswith("'=HYPERLINK") for r in rows[1:])
+    assert rows[1][9] == "7,921875" and any(r[4].startswith("'=1+1") for r in rows[1:])
 
 
 def test_companion_sheets(built, cohort):
     skipped = [(r["pseudonym"], r["model"], r["reason"]) for r in built.sheets["skipped"].collect()]
-    assert skipped == [("P0002", None, "excluded by QC"), ("P0003", None, "failed: dicom_unreadable"), ("P0004", "body_composition", "not run")]
+    assert skipped == [("A-12", None, "excluded by QC"), ("A-13", None, "failed: no_pixels"), ("A-14", "body_composition", "not run")]
     qc = [(r["pseudonym"], r["model"], r["label"], r["status"], r["flags"]) for r in built.sheets["qc"].collect()]
-    assert [x for x in qc if x[0] == "P0002"] == [("P0002", None, None, "rejected", None)]
-    assert [x[2:] for x in qc if x[0] == "P0004" and x[1]] == [("spleen", "label_excluded", None), ("liver", None, "truncated")]
-    series = [(r["timepoint"], r["series"], r["primary"], r["runtime_s"]) for r in built.sheets["series"].collect() if r["pseudonym"] == "P0001"]
-    assert series == [(1, 1, True, 90.0), (2, 1, True, 60.0), (2, 2, False, 60.0)]
+    assert [x for x in qc if x[0] == "A-12"] == [("A-12", None, None, "rejected", None)]
+    assert [x[2:] for x in qc if x[0] == "A-14" and x[1]] == [("aorta", "label_excluded", None), ("heart", None, "truncated")]
+    series = [(r["timepoint"], r["series"], r["primary"], r["runtime_s"]) for r in built.sheets["series"].collect() if r["pseudonym"] == "A-11"]
+    assert series == [(1, 1, True, 75.0), (2, 1, True, 75.0), (2, 2, False, 135.0)]
     regions = {r["model_key"]: r["region"] for r in built.sheets["labels"].collect()}
     assert regions["organs"] == "whole field of view" and "L3" in regions["body_composition"]
     assert list(built.sheets) == list(sheets.SHEET_ORDER)
@@ -112,7 +112,7 @@ def test_companion_sheets(built, cohort):
     assert {r["sheet"] for r in words} == {"results", "series", "qc", "labels", "provenance", "skipped"} and all(r["description"] for r in words)
     keys = [r["key"] for r in built.sheets["provenance"].collect()]
     assert keys.index("version.app") < keys.index("version.torch") < keys.index(f"model.{fx.ORGANS}.sha256")
-    assert built.masks.count() == 7  # both models of three series and one of se6; se4 is rejected
+    assert built.masks.count() == 7  # both models of three series and one of the formula's; the moved one is rejected
 
 
 def test_methods_sentence(cohort):
@@ -129,7 +129,7 @@ def test_files_are_reproducible(built, tmp_path):
         assert got["rows"] == built.sheets["results"].count() and got["excluded_series"] == 1
     assert (tmp_path / "a/run.xlsx").read_bytes() == (tmp_path / "b/run.xlsx").read_bytes()
     with zipfile.ZipFile(tmp_path / "a/run.xlsx") as z:
-        assert "=HYPERLINK" in z.read("xl/worksheets/sheet1.xml").decode() and "<f>" not in z.read("xl/worksheets/sheet1.xml").decode()
+        assert "=1+1" in z.read("xl/worksheets/sheet1.xml").decode() and "<f>" not in z.read("xl/worksheets/sheet1.xml").decode()
     sinks.write_export(built, parse({"format": "csv", "layout": "long"}), tmp_path / "a", "run")
     assert (tmp_path / "a/run.csv").exists() and (tmp_path / "a/run.qc.csv").exists()
 
@@ -146,7 +146,7 @@ def test_pivot_round_trip(cohort):
 def test_duplicate_labels_and_options(cohort, spark):
     from dataclasses import replace
 
-    twice = replace(cohort.run.models[0], labels={1: "Liver", 2: "liver"})
+    twice = replace(cohort.run.models[0], labels={1: "Heart", 2: "heart"})
     with pytest.raises(ValueError, match="same name"):
         layouts.selected_labels(replace(cohort.run, models=(twice,)), Options())
     for bad in ({"x": 1}, {"layout": "tall"}, {"models": []}, {"metrics": ["no"]}, {"masks": "false"}, {"reproducibility_package": True}):
@@ -157,4 +157,4 @@ def test_duplicate_labels_and_options(cohort, spark):
 
 def test_models_frame(spark):
     got = models_frame(fx.tables(spark)["runs"]).orderBy("model_pos", "label_id").collect()
-    assert [(r.model_pos, r.label_id, r.label, r.color) for r in got][:2] == [(0, 1, "liver", "#ff0000"), (0, 2, "spleen", None)] and len(got) == 6
+    assert [(r.model_pos, r.label_id, r.label, r.color) for r in got][:2] == [(0, 1, "heart", "#00aa33"), (0, 2, "aorta", None)] and len(got) == 6

@@ -65,6 +65,11 @@ def test_licences(spark):
     assert case("GPL-3.0", [], None)[1] == "not allowed" and case("LGPL-3.0", [], None)[1] == "needs approval"
     assert case("MIT OR GPL-3.0", [], None)[1] == "ok" and case("Apache-2.0 WITH LLVM-exception", [], None)[1] == "ok"
     assert case(None, [], None) == ("UNKNOWN", "not recognised")
+    for expression, want in (
+        ("(MIT OR Apache-2.0) AND BSD-3-Clause", "ok"), ("Apache-2.0 OR BSD-3-Clause", "ok"), ("MIT AND GPL-3.0", "not allowed"), ("GPL-2.0 OR AGPL-3.0", "not allowed"),
+        ("LGPL-2.1 OR GPL-2.0", "not allowed"), ("LGPL-2.1 AND MIT", "needs approval"), ("Dual GPL/MIT", "not allowed"), ("Own-1.0 OR MIT", "not recognised"), ("MPL-2.0", "ok"),
+    ):
+        assert case(expression, [], None)[1] == want, expression
 
 
 Z, Y, X = 20, 30, 40
@@ -132,7 +137,7 @@ def test_schema_checks(spark):
     tables = fx.tables(spark)
     assert schema.private_columns(tables) == []
     assert schema.violations(tables).count() == 0
-    tables["patients"] = tables["patients"].union(spark.createDataFrame([("pk9", "P0001", "X", None)], schema.struct("patients")))
+    tables["patients"] = tables["patients"].union(spark.createDataFrame([("px", "A-11", "X", None)], schema.struct("patients")))
     assert {(r["table"], r.rule) for r in schema.violations(tables).collect()} == {("patients", "unique pseudonym"), ("patients", "sex values")}
 
 
@@ -146,7 +151,7 @@ def test_sqlite_and_parquet_read_the_same(spark, tmp_path):
     db.commit()
     db.close()
     got = sqlite.read(spark, str(path), fx.RUN)
-    assert [r.patient_id for r in got["identifiers"].orderBy("patient_key").collect()] == ["00012345", "1E5", "4"]
+    assert [r.patient_id for r in got["identifiers"].orderBy("patient_key").collect()] == ["0077", "2E3", "9"]
     project.write_parquet({k: v for k, v in fx.tables(spark).items()}, str(tmp_path / "p"))
     again = project.read_parquet(spark, str(tmp_path / "p"))
     for name in ("series", "results", "qc", "jobs", "patients"):
@@ -164,7 +169,7 @@ def test_store_writes(spark, tmp_path):
     assert again["identifiers"].count() == 0 and json.loads(again["audit_log"].first().details_json) == {"rows": 3}
     store.add_source(spark, folder, 2, None, "/secret/path/name", "2026-01-01T00:00:00Z")
     got = project.read_parquet(spark, folder)["sources"]
-    assert {r.display_path for r in got.collect()} == {"folder", "name"} and store.source_bookmarks(got).count() == 1
+    assert {r.display_path for r in got.collect()} == {"share", "name"} and store.source_bookmarks(got).count() == 1
 
 
 LINES = [
