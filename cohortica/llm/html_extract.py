@@ -2,7 +2,10 @@
 
 A page becomes a tree of elements.  Furniture that its tag, role, class or id
 names (menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts, styles, hidden parts) is cut out.  Every remaining node has
+comments, scripts, styles, hidden parts) is cut out.  Inside an article or main
+element a class or id must be such a name as a whole (an advert, a notice), not
+have it as a part of a longer name; what is otherwise named like furniture there
+goes only if links make up half of its characters.  Every remaining node has
 
     density = C/T * log_b(C/LC * T/LT),  b = ln(C*LC/(C-LC) + LCbody*C/Cbody + e)
 
@@ -10,7 +13,8 @@ with C characters, T tags, LC link characters and LT link tags below it (zero
 divisors count as 1), and a density sum over its children.  The node with the
 greatest sum is content; the least density on its path from the body is the
 threshold: every other subtree as dense adds the node with its greatest sum.
-A chosen node inside an article (or main) element stands for that element.
+A chosen node inside an article (or main) element stands for that element; if the
+node of the greatest sum has one, only such elements stay.
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are joined by an empty line.  Nothing else is dropped or capped.
@@ -32,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.llm import common
+
 # Element names as the HTML standard sorts them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -58,6 +64,11 @@ CUT_WORDS = frozenset(
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay toolbar "
     "pagination pager skip copyright header topbar form search".split()
 )
+#: Names that mean furniture inside an article too, as a whole class or id.
+CUT_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert newsletter "
+    "subscribe subscription signup login popup modal overlay copyright sidebar sidebars".split()
+)
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)""",
@@ -77,7 +88,7 @@ class _Page:
         self._read(source)
 
     def _open(self, stack: list[int], name: str, attrs: str) -> int:
-        cut, soft = _furniture(name, attrs, any(self.tag[i] in ("article", "main") for i in stack) if name == "header" else False)
+        cut, soft = _furniture(name, attrs, any(self.tag[i] in ("article", "main") for i in stack) if name == "header" or attrs.strip() else False)
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.cut.append(cut)
@@ -134,13 +145,10 @@ class _Page:
 
 
 def _furniture(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """(cut whatever it holds, cut unless it holds an article)."""
+    """(cut whatever it holds, cut unless it holds an article or, inside one, unless links are the smaller part)."""
     if name in CUT_TAGS:
         return True, False
-    if name in ("html", "body", "article", "main"):
-        named = {}
-    else:
-        named = {}
+    named = {}
     if name == "header" and not in_article:
         return True, False
     for m in _ATTR.finditer(attrs) if attrs.strip() else ():
@@ -156,7 +164,11 @@ def _furniture(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         return True, False
     if name == "article":
         return False, False
-    return False, bool(words & CUT_WORDS) or named.get("role", "").lower() in CUT_ROLES
+    role = named.get("role", "").lower() in CUT_ROLES
+    whole = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
+    if in_article and (role or CUT_INSIDE.intersection(whole)):
+        return True, False
+    return False, bool(words & CUT_WORDS) or role
 
 
 def extract(source: str | None) -> str:
@@ -169,14 +181,25 @@ def extract(source: str | None) -> str:
     holds = [False] * n
     for i in range(n - 1, 0, -1):
         holds[parent[i]] |= holds[i] or tag[i] in ("article", "main")
+    in_link, inside = [False] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = in_link[parent[i]] or tag[i] == "a"
+        inside[i] = inside[parent[i]] or tag[parent[i]] in ("article", "main")
+    size, linked = [0] * n, [0] * n
+    for i, t in page.events:
+        if t is not None:
+            k = len("".join(t.split()))
+            size[i] += k
+            linked[i] += k if in_link[i] else 0
+    for i in range(n - 1, 0, -1):
+        size[parent[i]] += size[i]
+        linked[parent[i]] += linked[i]
     gone = [False] * n
     for i in range(1, n):
-        gone[i] = gone[parent[i]] or page.cut[i] or (page.soft[i] and not holds[i])
+        soft = page.soft[i] and (2 * linked[i] >= size[i] if inside[i] else not holds[i])
+        gone[i] = gone[parent[i]] or page.cut[i] or soft
     events = [(i, None if t is None else html.unescape(t)) for i, t in page.events if not gone[i]]
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
-    for i in range(1, n):
-        in_link[i] = in_link[parent[i]] or tag[i] == "a"
     for i, t in events:
         if t is not None:
             size = len("".join(t.split()))
@@ -225,8 +248,9 @@ def extract(source: str | None) -> str:
     for i in range(n):
         if under[i] and not gone[i] and density[i] >= threshold > 0 and not _inside(best_below[i], chosen, parent):
             chosen.add(_lift(best_below[i], tag, parent, body))
-    articles = {i for i in chosen if tag[i] in ("article", "main")}
-    chosen = articles or chosen or {body}
+    if tag[_lift(top, tag, parent, body)] in ("article", "main"):
+        chosen = {i for i in chosen if tag[i] in ("article", "main")}
+    chosen = chosen or {body}
     keep = [False] * n
     for i in range(n):
         keep[i] = i in chosen or (i > 0 and keep[parent[i]])
@@ -268,5 +292,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for part in parts:
             yield part.map(extract, na_action=None).astype(object)
 
+    common.bound_batches(pages.sparkSession)
     got = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text(F.coalesce(F.col(html_col), F.lit(""))).alias("text"))
     return got.withColumn("n_chars", F.length("text").cast("long"))

@@ -82,12 +82,85 @@ def test_html(spark):
     assert html_extract.extract("<body><article>" + "<div>" * 5000 + "deep") == "deep"
     no_article = "<body><div><a href=1>a</a><a href=2>b</a><a href=3>c</a></div><div><p>%s</p><p>%s</p></div></body>" % ("long text " * 30, "more text " * 30)
     assert html_extract.extract(no_article).startswith("long text") and " a " not in html_extract.extract(no_article)
+    inner = '<h2 class="section-header">Head</h2><p class="related">related words</p><div class="search-results"><p>results</p></div><div class="share"><a href=1>share it</a></div>'
+    inner += '<div class="ad">buy</div><div id="notice">take note</div><div class="comments"><p>me too</p></div><header class="entry-header"><h1>Title</h1></header>'
+    assert html_extract.extract(f"<body><article>{inner}<p>text of it</p></article></body>") == "Head\n\nrelated words\n\nresults\n\nTitle\n\ntext of it"
+    teaser = '<article><a href="1">a teaser</a></article>'
+    assert html_extract.extract(f"<body>{teaser}<div><p>{'long text ' * 40}</p><p>{'more text ' * 40}</p></div></body>").startswith("long text")
+    assert html_extract.extract("<body><article>" + "<p>word</p>" * 30_000 + "</article>").count("word") == 30_000
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id long, url string, html string")
     got = html_extract.main_text(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and sum(r.text == "" for r in got) == 2
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def density_text(node, body):
+    """Composite text density by its definition, on nested (tag, children) with strings as text."""
+    import math
+
+    def measure(x, link):
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            return n, n if link else 0, 0, 0
+        c = lc = t = lt = 0
+        for y in x[1]:
+            a, b, d, e = measure(y, link or x[0] == "a")
+            c, lc, t, lt = c + a, lc + b, t + d + (not isinstance(y, str)), lt + e + (not isinstance(y, str) and y[0] == "a")
+        return c, lc, t, lt
+
+    whole = measure(body, False)
+
+    def density(x):
+        c, lc, t, lt = measure(x, False)
+        if not c:
+            return 0.0
+        if not whole[1]:
+            return c / max(1, t)
+        base = math.log(c / max(1, c - lc) * lc + whole[1] / whole[0] * c + math.e)
+        return c / max(1, t) * math.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base)
+
+    kids = lambda x: [y for y in x[1] if not isinstance(y, str)]
+    total = lambda x: sum(map(density, kids(x)))
+    every = lambda x: [x] + [z for y in kids(x) for z in every(y)]
+    top = max(every(body), key=total)
+    path = []
+
+    def find(x, way):
+        if x is top:
+            path.extend([*way, x])
+        for y in kids(x):
+            find(y, [*way, x])
+
+    find(body, [])
+    least, out = min(map(density, path)), []
+
+    def walk(x):
+        if density(x) >= least > 0:
+            out.append(max(every(x), key=total))
+        for y in kids(x):
+            walk(y)
+
+    walk(body)
+    text = lambda x: x if isinstance(x, str) else " ".join(map(text, x[1]))
+    return {w for x in out for w in text(x).split()}
+
+
+def test_html_by_definition():
+    rng = random.Random(4)
+    serial = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(serial, x[1]))}</{x[0]}>"
+    number = [0]
+
+    def words(n):
+        number[0] += n
+        return " ".join(f"t{number[0]}x{k}" for k in range(n)) + " "
+
+    for _ in range(40):
+        block = lambda: ("div", [("p", [words(rng.randint(1, 40)), *([("a", [words(rng.randint(1, 4))])] * rng.randint(0, 2))]) for _ in range(rng.randint(1, 4))])
+        menu = ("div", [("a", [words(1)]) for _ in range(8)])
+        body = ("body", [menu, ("div", [block() for _ in range(rng.randint(1, 3))]), block()])
+        assert set(html_extract.extract(serial(body)).split()) == density_text(body, body)
+
+
 # -- licences ------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
