@@ -43,7 +43,8 @@ def _report(spark, sf):
     return audit.size_report(QUERIES["q_e17_e21_size_rollup"][0](spark, sf))
 
 
-QUERIES["q_b13_size_report"] = (_report, None)
+QUERIES["q_b13_size_report"] = (_report, f"""SELECT "group", bytes, CASE WHEN is_total = 1 THEN printf('%8.2f GB  %s', bytes / 1e9, "group") ELSE printf('%8.1f MB  %s', bytes / 1e6, "group") END AS line
+ FROM ({QUERIES["q_e17_e21_size_rollup"][1]})""")
 
 
 @_query("q_d18_dependencies", """SELECT * FROM (VALUES (1, 'fast_vertebrae'), (2, 'body'), (3, 'organs'), (4, 'ribs')) t(pos, model)""")
