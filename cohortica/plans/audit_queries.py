@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortica.operators import audit, extensions
+from cohortica.operators import audit, extensions, geometry, outcomes
 from cohortica.plans.driver_tables import table
+from cohortica.sources import files
 
 QUERIES: dict = {}
 
@@ -32,10 +33,10 @@ def _(spark, sf):
     return audit.mismatch_list(QUERIES["q_d15_manifest"][0](spark, sf)).withColumn("paths", F.array_join("paths", ","))
 
 
-@_query("q_e17_e21_size_rollup", """WITH f AS (SELECT array_to_string(string_split(url, '/')[1:CASE WHEN starts_with(url, 'https:/') THEN 4 ELSE 2 END], '/') AS g, CAST(length(html) AS BIGINT) AS size FROM pages)
+@_query("q_e17_e21_size_rollup", """WITH f AS (SELECT array_to_string(string_split(url, '/')[1:CASE WHEN starts_with(url, 'https:/') THEN 4 ELSE 2 END], '/') AS g, CAST(strlen(html) AS BIGINT) AS size FROM pages)
  SELECT g AS "group", CAST(sum(size) AS BIGINT) AS bytes, 0::INT AS is_total FROM f GROUP BY g UNION ALL SELECT 'total', CAST(sum(size) AS BIGINT), 1 FROM f""")
 def _(spark, sf):
-    files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"))
+    files = table(spark, sf, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
     return audit.size_rollup(files, inside="https:")
 
 
@@ -47,6 +48,15 @@ QUERIES["q_b13_size_report"] = (_report, f"""SELECT "group", bytes, CASE WHEN is
  FROM ({QUERIES["q_e17_e21_size_rollup"][1]})""")
 
 
+def _size_order(spark, sf):
+    """Place of each line of the roll-up as it comes; its rows are as few as folders of that depth."""
+    rows = QUERIES["q_e17_e21_size_rollup"][0](spark, sf).withColumn("_at", F.monotonically_increasing_id())
+    return rows.select(F.row_number().over(Window.orderBy("_at")).alias("n"), "group", "bytes")
+
+
+QUERIES["q_i7_size_order"] = (_size_order, f"""SELECT CAST(row_number() OVER (ORDER BY is_total DESC, bytes DESC, "group") AS INT) AS n, "group", bytes FROM ({QUERIES["q_e17_e21_size_rollup"][1]})""")
+
+
 @_query("q_d18_dependencies", """SELECT * FROM (VALUES (1, 'fast_vertebrae'), (2, 'body'), (3, 'organs'), (4, 'ribs')) t(pos, model)""")
 def _(spark, sf):
     asked = spark.createDataFrame([(1, "body"), (2, "organs"), (3, "fast_vertebrae"), (4, "ribs")], "pos int, model string")
@@ -188,3 +198,42 @@ def _(spark, sf):
     files = table(spark, sf, "pages").select("page_id", F.concat("url", F.col("page_id").cast("string")).alias("path"), F.length("html").alias("size"), F.lit(1).alias("mtime"))
     seen = files.where("page_id % 5 <> 0").withColumn("mtime", F.when(F.col("page_id") % 7 == 0, 0).otherwise(1))
     return extensions.rescan(files, seen).select("page_id")
+
+
+@_query("q_a12_job_files", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'no JSON' WHEN event_id % 7 = 1 THEN 'no job_id' WHEN event_id % 7 = 2 THEN 'other protocol version' WHEN event_id % 7 = 3 THEN 'unknown kind' END AS problem,
+ CASE WHEN event_id % 7 > 3 THEN 'export' END AS kind FROM events""")
+def _(spark, sf):
+    n = F.col("event_id") % 7
+    text = F.to_json(F.struct(F.when(n == 2, 9).otherwise(1).alias("protocol_version"), F.when(n != 1, F.col("event_id").cast("string")).alias("job_id"),
+                              F.when(n == 3, F.col("event_type")).otherwise("export").alias("kind"), F.lit("/p").alias("project_dir")))
+    lines = table(spark, sf, "events").select("event_id", F.when(n == 0, F.concat(F.lit("{"), "event_type")).otherwise(text).alias("value"))
+    return files.jobs(lines).select("event_id", "problem", F.when(F.col("problem").isNull(), F.col("kind")).alias("kind"))
+
+
+@_query("q_h22_containment", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '/data/p/' || doc_id WHEN 1 THEN NULL WHEN 2 THEN '/data/p/b/' || doc_id WHEN 3 THEN NULL WHEN 4 THEN '/data/p/in/' || doc_id ELSE '/data/p' END AS path FROM documents""")
+def _(spark, sf):
+    d = F.col("doc_id").cast("string")
+    texts = {0: d, 1: F.concat(F.lit("../"), d), 2: F.concat(F.lit("a/.././b//"), d), 3: F.concat(F.lit("/data/public/"), d), 4: F.concat(F.lit("/data/p/in/"), d), 5: F.lit("..//p/.")}
+    path = F.coalesce(*[F.when(F.col("doc_id") % 6 == n, t) for n, t in texts.items()])
+    return table(spark, sf, "documents").select("doc_id", files.inside_column("/data/p", path).alias("path"))
+
+
+@_query("q_l7_spacing", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax > 0 AND l_discount > 0 AND l_linenumber - 1 > 0 AS usable FROM lineitem")
+def _(spark, sf):
+    one = F.lit(1)
+    usable = geometry.check_spacing(F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.col("l_linenumber") - 1, one, one)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", usable.alias("usable"))
+
+
+@_query("q_j10_j11_outcomes", """SELECT event_id, CASE event_type WHEN 'click' THEN 'cancelled' WHEN 'view' THEN 'ok' WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'failed' ELSE 'failed' END AS status,
+ CASE event_type WHEN 'click' THEN 130 WHEN 'view' THEN 0 WHEN 'purchase' THEN 0 ELSE 1 END AS exit_code,
+ CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'disk_full' ELSE 'internal_error' END ELSE 'unsupported_job' END AS code,
+ CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'true' ELSE 'false' END AS recoverable FROM events""")
+def _(spark, sf):
+    kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
+    ends = table(spark, sf, "events").select(
+        "event_id", F.when(kind.isin("click", "view", "purchase", "error"), "segment").otherwise("paint").alias("kind"), (kind == "click").alias("cancelled"),
+        F.when((kind == "error") & even, "disk_full").alias("failure"), F.lit("no room on the disk").alias("message"), F.lit(True).alias("recoverable"),
+        F.when((kind == "error") & ~even, "ValueError").alias("exception"),
+    )
+    return outcomes.judge(ends, ["segment", "export"]).select("event_id", "status", "exit_code", "code", F.col("recoverable").cast("string").alias("recoverable"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortica import schema
@@ -257,12 +258,85 @@ _query("q_g3_g7_wide_study", *_FULL, cte=FACTS, sql=_wide_sql("CAST(st.timepoint
 _query("q_g3_g7_wide_series", *_FULL, cte=FACTS, sql=_wide_sql("CAST(st.timepoint AS INT) AS timepoint, CAST(st.series_index AS INT) AS series,", "true"))(_wide(parse({"row_level": "series", "multiple_series": "all", "metrics": _TWO})))
 
 
-def _wide_suffix(spark, sf):
-    """A block of columns per timepoint; 12 patients' positions decide how many."""
-    return _wide(parse({"metrics": ["voxel_count"], "models": ["clin_ct_organs"], "labels": ["liver"], "patients": [f"P{i:04d}" for i in range(1, 13)]}))(spark, sf)
+@_query("q_g4_g5_wide_suffix", *_FULL, cte=FACTS, sql="""
+WITH own AS (SELECT * FROM states WHERE series_index = 1 AND pos = 0), spots AS (SELECT p.pseudonym, t.timepoint FROM (SELECT DISTINCT pseudonym FROM own) p, (SELECT DISTINCT timepoint FROM own) t),
+got AS (SELECT own.pseudonym, own.timepoint, r.voxel_count FROM own JOIN results r ON r.series_key = own.series_key AND r.model = own.model AND r.label_id = 1
+  LEFT JOIN label_qc q ON q.series_key = own.series_key AND q.model = own.model AND q.label_id = 1 WHERE own.status = 'ok' AND q.status IS NULL)
+SELECT spots.pseudonym, 'organs__liver__voxel_count__t' || spots.timepoint AS "column", CAST(got.voxel_count AS STRING) AS value FROM spots LEFT JOIN got USING (pseudonym, timepoint)
+UNION ALL SELECT spots.pseudonym, 'organs__status__t' || spots.timepoint, own.status FROM spots LEFT JOIN own USING (pseudonym, timepoint)""")
+def _(spark, sf):
+    """Cells and statuses of a block of columns per timepoint, a row a cell, since the columns are as many as the data has timepoints."""
+    p, o = project(spark, sf), parse({"metrics": ["voxel_count"], "models": ["clin_ct_organs"], "labels": ["liver"]})
+    rows = layouts.wide(export.slots(p, o), p, o)
+    cells = [c for c in rows.columns if c.startswith("organs__")]
+    return _text(rows, *cells).unpivot(["pseudonym"], cells, "column", "value")
+
+
+@_query("q_e14_positions", *_STORE, cte=SLOTS, sql="SELECT CAST(row_number() OVER (ORDER BY timepoint, series_index) AS INT) AS n, CAST(timepoint AS INT) AS timepoint, CAST(series_index AS INT) AS series FROM (SELECT DISTINCT timepoint, series_index FROM slots)")
+def _(spark, sf):
+    o = parse({"multiple_series": "all"})
+    places = layouts.positions(spine.slots(project(spark, sf), o), o)
+    return spark.createDataFrame([(n, t, s) for n, (t, s) in enumerate(places, 1)], "n int, timepoint int, series int")
+
+
+@_query("q_i1_f6_row_order", *_FULL, cte=FACTS, sql="""
+SELECT st.pseudonym, CAST(st.timepoint AS INT) AS timepoint, CAST(st.series_index AS INT) AS series, st.key AS model, l.label_id, CAST(row_number() OVER (PARTITION BY st.pseudonym ORDER BY st.timepoint, st.series_index, st.pos, l.label_id) AS INT) AS row,
+  CAST(dense_rank() OVER (PARTITION BY st.pseudonym[1:4] ORDER BY st.pseudonym) AS INT) AS person FROM states st JOIN labels_dim l USING (pos) WHERE st.open_status = 'ok'""")
+def _(spark, sf):
+    """Place of each row of the long layout as it comes: among the person's rows, and of the person among those whose names begin alike."""
+    p, o = project(spark, sf), parse({"layout": "long", "multiple_series": "all", "row_level": "series", "metrics": ["voxel_count"], "qc": "include"})
+    rows = layouts.long(export.slots(p, o), p, o).select("pseudonym", "timepoint", "series", "model", "label_id", F.monotonically_increasing_id().alias("_at"))
+    own = Window.partitionBy("pseudonym")
+    rows = rows.withColumns({"row": F.row_number().over(own.orderBy("_at")), "_first": F.min("_at").over(own)})
+    return rows.withColumn("person", F.dense_rank().over(Window.partitionBy(F.substring("pseudonym", 1, 4)).orderBy("_first"))).drop("_at", "_first")
+
+
+@_query("q_d8_d9_skeleton", *_FULL, cte=FACTS, sql="""
+SELECT st.series_key, st.model, l.label_id, l.label, r.series_key IS NOT NULL AS found FROM states st JOIN labels_dim l USING (pos) LEFT JOIN results r ON r.series_key = st.series_key AND r.model = st.model AND r.label_id = l.label_id
+LEFT JOIN label_qc q ON q.series_key = st.series_key AND q.model = st.model AND q.label_id = l.label_id WHERE st.status = 'ok' AND q.status IS NULL""")
+def _(spark, sf):
+    p = project(spark, sf)
+    rows = layouts.values(export.slots(p, _ALL_SERIES), p, _ALL_SERIES, layouts.selected_labels(p.run, _ALL_SERIES))
+    return rows.select("series_key", "model", "label_id", "label", F.col("voxel_count").isNotNull().alias("found"))
+
+
+@_query("q_d5_patient_subset", *_STORE, cte=SLOTS, sql="SELECT pseudonym, series_key FROM slots WHERE pseudonym IN ('P0002', 'P0050', 'P0101')")
+def _(spark, sf):
+    return spine.slots(project(spark, sf), parse({"patients": ["P0101", "nobody", "P0002", "P0050"], "multiple_series": "all", "row_level": "series"})).select("pseudonym", "series_key")
 
 
-QUERIES["q_g4_g5_wide_suffix"] = (_wide_suffix, None)
+_query("q_d6_model_subset", *_FULL, cte=FACTS, sql=_LONG + "st.open_status = 'ok' AND st.pos = 1")(
+    _long(parse({"layout": "long", "multiple_series": "all", "row_level": "series", "metrics": _METRIC, "qc": "include", "models": ["clin_ct_body_composition"]})))
+
+
+@_query("q_e9_e10_first_study", *_STORE, cte=SLOTS, sql="SELECT pseudonym, strftime(d, '%Y-%m-%d') AS first_study, CAST(n_studies AS INT) AS n_studies FROM slots WHERE timepoint = 1 AND series_index = 1")
+def _(spark, sf):
+    rows = spine.slots(project(spark, sf), parse({"multiple_studies": "first"}))
+    return rows.select("pseudonym", F.date_format("study_date", "yyyy-MM-dd").alias("first_study"), "n_studies")
+
+
+@_query("q_d11_d13_series_lookups", *_FULL, cte=FACTS, sql='SELECT series_key, qc_status, reviewer, "at", comment, device, code AS failed_code, round(runtime_s, 3) AS runtime_s FROM facts')
+def _(spark, sf):
+    rows = export.slots(project(spark, sf), _ALL_SERIES)
+    return rows.select("series_key", "qc_status", F.col("qc_reviewer").alias("reviewer"), F.col("qc_at").alias("at"), F.col("qc_comment").alias("comment"), "device", "failed_code", F.round("runtime_s", 3).alias("runtime_s"))
+
+
+@_query("q_e13_pivot_cells", *_FULL, cte=FACTS, sql="""
+SELECT st.pseudonym, CAST(st.timepoint AS INT) AS timepoint, CAST(st.series_index AS INT) AS series, st.key || '__' || l.label || '__voxel_count' AS "column", CAST(r.voxel_count AS DOUBLE) AS value FROM states st JOIN labels_dim l USING (pos)
+JOIN results r ON r.series_key = st.series_key AND r.model = st.model AND r.label_id = l.label_id LEFT JOIN label_qc q ON q.series_key = st.series_key AND q.model = st.model AND q.label_id = l.label_id WHERE st.status = 'ok' AND q.status IS NULL""")
+def _(spark, sf):
+    """Filled cells of the wide layout, turned back to a row each."""
+    p, o = project(spark, sf), parse({"row_level": "series", "multiple_series": "all", "metrics": ["voxel_count"]})
+    rows = layouts.wide(export.slots(p, o), p, o)
+    return layouts.unpivot(rows, [c for c in rows.columns if c.endswith("__voxel_count")], ["pseudonym", "timepoint", "series"]).where("value IS NOT NULL")
+
+
+@_query("q_g17_warnings", "patients", "identifiers", sql="""
+SELECT CAST(1 AS INT) AS n, 'This export contains DICOM PatientIDs. Treat the file as identifying data.' AS warning
+UNION ALL SELECT 2, 'Some patients have no stored PatientID (identifiers were removed); their cells are empty.' WHERE EXISTS (SELECT 1 FROM patients WHERE patient_key NOT IN (SELECT patient_key FROM identifiers WHERE patient_id IS NOT NULL))""")
+def _(spark, sf):
+    got = sheets.warnings(project(spark, sf), parse({"identifiers": "both"}))
+    return spark.createDataFrame(list(enumerate(got, 1)), "n int, warning string")
 
 
 @_query("q_g8_g9_identity_dates", *_STORE, cte=SLOTS, sql="SELECT pseudonym, patient_id, strftime(d, '%Y-%m-%d') AS study_date, CAST(year(d) AS STRING) AS year FROM slots WHERE series_index = 1")

@@ -10,7 +10,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortica.streaming.events import JOB_KINDS, decode
@@ -70,13 +70,33 @@ def inside(project: str, path: str) -> str:
     """The path below the project's folder; an error if it leaves it."""
     out: list[str] = []
     for part in PurePosixPath(project, path).parts:
-        out = out[:-1] if part == ".." and len(out) > 1 else [*out, part] if part != "." else out
+        out = [*out, part] if part != ".." else out[:-1] if len(out) > 1 else out
     whole = PurePosixPath(*out)
     if not whole.is_relative_to(PurePosixPath(project)):
         raise JobError("the path leaves the project")
     return str(whole)
 
 
+def jobs(lines: DataFrame, line: str = "value") -> DataFrame:
+    """job_id, kind, project_dir, problem (null for a job that :func:`job` takes) of one job's text a row, with the other columns.  A null key counts as missing."""
+    e = lambda c: F.col(f"_job.{c}")
+    rows = lines.withColumn("_job", F.from_json(line, "protocol_version int, job_id string, kind string, project_dir string"))
+    missing = [F.when(e(c).isNull(), F.lit(f"no {c}")) for c in ("protocol_version", "job_id", "kind", "project_dir")]
+    wrong = [F.when(e("protocol_version") != PROTOCOL, "other protocol version"), F.when(~e("kind").isin(*JOB_KINDS), "unknown kind")]
+    problem = F.coalesce(F.when(F.try_parse_json(line).isNull(), "no JSON"), *missing, *wrong)
+    return rows.select(*[c for c in lines.columns if c != line], e("job_id").alias("job_id"), e("kind").alias("kind"), e("project_dir").alias("project_dir"), problem.alias("problem"))
+
+
+def inside_column(project: str, path: Column) -> Column:
+    """:func:`inside` for a column of paths: null where a path is null or leaves the folder ``project`` (an absolute path)."""
+    root = str(PurePosixPath(project))
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{root}/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    step = lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p)))
+    got = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when((got == root) | got.startswith(root.rstrip("/") + "/"), got)
+
+
 # NIfTI-1 datatype codes -> numpy types.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 

@@ -8,7 +8,7 @@ from cohortica import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW_ANYWAY = ["q_g2_long", "q_g3_g7_wide_last", "q_g11_qc_sheet", "q_g13_e15_skipped_sheet", "q_c2_c12_label_metrics", "q_j3_job_state", "q_h19_h20_licences", "q_e17_e21_size_rollup", "q_l3_voxel_to_pixel", "q_n5_f8_outliers"]
+SLOW_ANYWAY = ["q_g2_long", "q_g3_g7_wide_last", "q_g11_qc_sheet", "q_g13_e15_skipped_sheet", "q_c2_c12_label_metrics", "q_j3_job_state", "q_h19_h20_licences", "q_e17_e21_size_rollup", "q_l3_voxel_to_pixel", "q_n5_f8_outliers", "q_g4_g5_wide_suffix", "q_i1_f6_row_order", "q_e13_pivot_cells", "q_a12_job_files", "q_h22_containment", "q_j10_j11_outcomes"]
 
 
 @pytest.mark.parametrize("name", SLOW_ANYWAY)
