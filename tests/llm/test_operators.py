@@ -273,6 +273,42 @@ def test_jaccard_keeps_one_row_by_row(spark):
     assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
 
 
+def test_jaccard_deals_out_the_texts_of_copies_only(spark, tmp_path, monkeypatch):
+    """Kept rows are not shuffled however large the list of dropped ones is; only tables the result reads stay on disk."""
+    monkeypatch.setattr(common, "workspace", lambda _: f"file://{tmp_path}")
+    texts = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(400)]
+    rows = [*enumerate(texts), *((1000 + k, texts[k]) for k in range(5)), (1000, texts[0]), (7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(df, bits=18)
+        left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
+        assert sorted(kept.select("doc_id", "text").collect()) == sorted(enumerate(texts))
+        kept.collect()
+        dealt = sum(shuffled(kept._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left == {"jaccard-fate", "jaccard-met"}
+    assert 0 < dealt < 100  # 8 ids in the map and the rows that share a bit with one, against the list
+
+
+def shuffled(plan):
+    """Rows written by each exchange of an executed plan of texts; ``repartition`` of the input apart."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "ShuffleExchangeExec":
+        if "RoundRobin" in plan.outputPartitioning().toString():
+            return
+        yield plan.metrics().apply("shuffleRecordsWritten").value()
+    if kind == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    else:
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+    for x in below:
+        yield from shuffled(x)
+
+
 # -- tokens --------------------------------------------------------------------------------------------------------------
 
 
