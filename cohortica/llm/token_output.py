@@ -39,12 +39,15 @@ import re
 import struct
 import uuid
 import zipfile
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,20 +99,20 @@ def _call(spark: SparkSession, name: str, *columns: str) -> Column:
 
 
 class _Known(dict):
-    """Codes of strings by ``make``, in two generations of at most ``MOST``: what nobody asks for goes with the older one."""
+    """Codes of strings by ``make``, in two generations of at most ``most``: what nobody asks for goes with the older one."""
 
-    MOST, LONG = 450_000, 64
+    LONG = 64
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         code = self.old.get(key)
         if code is None:
             code = self.make(key)
         if len(key) <= self.LONG:
-            if len(self) >= self.MOST:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = code
@@ -122,15 +125,23 @@ class Encoder:
     Its byte-level pre-tokenizer cuts a text by the published pattern, and its
     model merges inside the pieces only, so the library's model sees each distinct
     piece once.  No piece holds a blank after anything else, and of white space
-    before other text the last blank belongs to what follows: a text is first cut
-    at its blanks, and known units are not cut further.  Texts with a blank between
-    other white space, or with a special token, go to the library whole.
+    before other text the last blank belongs to what follows: the texts of a batch
+    are cut at their blanks, the distinct units into pieces, and the distinct pieces
+    are looked up.  Of units with other letters than ``_LETTERS``, apostrophes or
+    several line ends in a row the published pattern itself finds the pieces.  Texts
+    with a blank between other white space, or with a special token, go to the
+    library whole.
     """
 
+    PIECES, UNITS, MARK = 500_000, 100_000, "\x01"
     _INNER = re.compile(r"\s (?:\s|\Z)")
+    _LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+    _ODD = f"^$|^\n|\n\n|[^!-&(-~\n{_LETTERS}]"
+    _CUT = f" ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n0-9{_LETTERS}]+|\n"
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
@@ -139,27 +150,80 @@ class Encoder:
         # The visible character of each byte, as the library's byte-level alphabet has it.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         alphabet = {b: b if b in shown else 256 + k for k, b in enumerate(sorted(range(256), key=lambda b: b in shown))}
-        merge, cut, blank = self.tokenizer.model.tokenize, regex.compile(pattern).findall, chr(alphabet[32])
+        merge, cut, visible = self.tokenizer.model.tokenize, regex.compile(pattern).findall, "".join(chr(alphabet[b]) for b in range(256))
+        self.odd = self._ODD if pattern == public_tokenizers.PATTERN else ""  # the empty pattern is in every unit
+        raw = self._raw
 
         def piece(p: str) -> bytes:
-            plain = p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(alphabet)
-            return self._raw([t.id for t in merge(plain)])
+            return raw([t.id for t in merge(charmap_decode(p.encode("utf-8"), "strict", visible)[0])])
+
+        self.piece = _Known(piece, self.PIECES).__getitem__
+        self.whole = lambda text: b"".join(map(self.piece, cut(text)))
+        self.unit = _Known(lambda unit: self.whole(" " + unit), self.UNITS).__getitem__
+
+    _PACK = [struct.Struct(f"<{n}H").pack for n in range(17)]
+
+    @classmethod
+    def _raw(cls, ids: list[int]) -> bytes:
+        n = len(ids)
+        try:
+            return cls._PACK[n](*ids) if n < 17 else struct.pack(f"<{n}H", *ids)
+        except struct.error:
+            raise ValueError("ids of 65,536 and more do not fit the file format") from None
+
+    def _coded(self, units: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of units, with the blank before them, that are not odd."""
+        marked = pc.replace_substring_regex(pc.binary_join_element_wise(" ", units, ""), self._CUT, rf"\0{self.MARK}")
+        cut = pc.split_pattern(marked, self.MARK)  # an empty string follows the last piece
+        return _joined(cut, _looked_up(cut.flatten().dictionary_encode(), self.piece))
+
+    def many(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of every text of ``texts``, which has no nulls."""
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        cut = pc.split_pattern(texts, " ")
+        units = cut.flatten().dictionary_encode()
+        known, at = units.dictionary, units.indices.to_numpy()
+        odd = pc.match_substring_regex(known, self.odd)
+        strange = known.filter(odd).to_numpy(zero_copy_only=False)
+        odd = odd.to_numpy(zero_copy_only=False)
+        # Units that white space begins or ends, and texts that hold one or a special token.
+        bare = pc.ends_with(known, "\n").to_numpy(zero_copy_only=False)
+        bare[odd] = [not u or u[0].isspace() or u[-1].isspace() for u in strange]
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        suspect = np.logical_or.reduceat(bare[at], starts)
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        plain = len(known) - len(strange)
+        place = np.where(odd, plain + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)[at]
+        # The first unit of a text has no blank before it; the ids of a text that goes to the library whole stand there.
+        ends = np.append(starts, len(at))
+        heads, nothing = [], len(known) + len(texts)
+        for i, head in enumerate(known.take(pa.array(at[starts])).to_numpy(zero_copy_only=False)):
+            if (suspect[i] or special[i]) and (special[i] or self._INNER.search(texts[i].as_py())):
+                heads.append(self._raw(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids))
+                place[ends[i] : ends[i + 1]] = nothing
+            else:
+                heads.append(self.whole(head))
+        place[starts] = len(known) + np.arange(len(texts))
+        others = pa.array([*map(self.unit, strange), *heads, b""], pa.large_binary())
+        return _joined(cut, pa.concat_arrays([self._coded(known.filter(pa.array(~odd))), others]).take(pa.array(place)))
 
-        pieces = _Known(piece).__getitem__
-        self.whole = lambda unit: b"".join(map(pieces, cut(unit)))
-        self.unit = _Known(lambda unit: self.whole(" " + unit)).__getitem__
+    def ids(self, text: str) -> bytes:
+        return self.many(pa.array([text], pa.string()))[0].as_py()
 
-    @staticmethod
-    def _raw(ids: list[int]) -> bytes:
-        if ids and max(ids) > 0xFFFF:
-            raise ValueError("ids of 65,536 and more do not fit the file format")
-        return struct.pack(f"<{len(ids)}H", *ids)
 
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or self._INNER.search(text):
-            return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.unit, rest))
+def _looked_up(coded: pa.DictionaryArray, code: Callable[[str], bytes]) -> pa.LargeBinaryArray:
+    return pa.array(list(map(code, coded.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(coded.indices)
+
+
+def _joined(lists: pa.ListArray, items: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """The bytes of each list of ``lists``, whose items stand in ``items`` one after the other."""
+    _, offsets, data = items.buffers()
+    at = lists.offsets.to_numpy()
+    ends = np.frombuffer(offsets, np.int64)[items.offset :][at - at[0]] if len(items) else np.zeros(len(at), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data if data is not None else pa.py_buffer(b"")])
 
 
 @lru_cache(maxsize=2)
@@ -188,35 +252,36 @@ def write(docs: DataFrame, folder: str, path: str | None = None, pattern: str |
     rows = docs.select(ids.alias("doc_id"), common.text_or_empty(text_col).alias("text")).withColumn(
         "part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
     )
+    kinds = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("documents", pa.binary()), ("ids", pa.binary())])
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, now, start, number = _encoder(path, pattern), None, 0, 0
         documents, held, size = [], [], 0
 
         def flush():
             nonlocal documents, held, size, start, number
-            row = pd.DataFrame({"part": [now], "chunk": [number], "part_start": [start], "n_ids": [size], "documents": [b"".join(documents)], "ids": [b"".join(held)]})
+            row = pa.RecordBatch.from_pydict({"part": [now], "chunk": [number], "part_start": [start], "n_ids": [size], "documents": [b"".join(documents)], "ids": [b"".join(held)]}, kinds)
             start, number = start + size, number + 1
             documents, held, size = [], [], 0
             return row
 
         end = struct.pack("<H", END)
         for batch in batches:
-            null = batch["doc_id"].isna()
-            for p, d, absent, text in zip(batch["part"], batch["doc_id"], null, batch["text"], strict=True):
+            coded = encoder.many(batch["text"])
+            for p, d, ids in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), coded, strict=True):
                 if held and (p != now or size >= CHUNK):
                     yield flush()
                 if p != now:
                     now, start, number = p, 0, 0
-                got = encoder.ids(text) + end
-                documents.append(struct.pack("<BqI", absent, 0 if absent else int(d), len(got) // 2))
+                got = ids.as_py() + end
+                documents.append(struct.pack("<BqI", d is None, d or 0, len(got) // 2))
                 held.append(got)
                 size += len(got) // 2
         if held:
             yield flush()
 
     dealt = rows.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    plain = dealt.mapInPandas(chunks, "part int, chunk int, part_start long, n_ids long, documents binary, ids binary")
+    plain = dealt.mapInArrow(chunks, "part int, chunk int, part_start long, n_ids long, documents binary, ids binary")
     plain.select("part", "chunk", "part_start", "n_ids", _call(spark, "Encode", "documents", "ids").alias("blob")).write.parquet(folder)
 
 

@@ -397,6 +397,22 @@ def test_encoder_equals_the_library(text):
     assert encoder.ids(text) == np.array(want, "<u2").tobytes()
 
 
+def test_encoder_takes_a_batch_at_once(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    encoder, rng = token_output.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN), random.Random(4)
+    cuts, whole = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda text: (cuts.append(text), whole(text))[1])
+    encoder.ids(" ".join("".join(rng.choices("abcdeéß", k=9)) + rng.choice(("", ",", ".\nEn", "7")) for _ in range(2000)))
+    assert len(cuts) == 1  # the pattern sees the first unit only, not each of 2000
+    parts = ["a", "é", "ɐ", "×", "²", "1", "'s", ".", "-", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "中", "😀", "\u0301", "<|endoftext|>", "\x01", "\x00", " the"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(5000)]
+    array = pa.array(["cut off", *texts], pa.string()).slice(1)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.many(array).to_pylist() == want and len(encoder.many(array.slice(0, 0))) == 0
+
+
 # -- fingerprints --------------------------------------------------------------------------------------------------------
 
 
