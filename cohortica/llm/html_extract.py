@@ -2,10 +2,12 @@
 
 A page becomes a tree of elements.  Furniture that its tag, role, class or id
 names (menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts, styles, hidden parts) is cut out.  Inside an article or main
-element a class or id must be such a name as a whole (an advert, a notice), not
-have it as a part of a longer name; what is otherwise named like furniture there
-goes only if links make up half of its characters.  Every remaining node has
+comments, scripts, styles, hidden parts) is cut out.  A name that only tells that
+a page takes comments or has none is no such name.  Inside an article or main
+element a class or id must be such a name as a whole (an advert, a notice, an
+advert's box), not have it as a part of a longer name; what is otherwise named
+like furniture there goes only if links make up half of its characters.  Every
+remaining node has
 
     density = C/T * log_b(C/LC * T/LT),  b = ln(C*LC/(C-LC) + LCbody*C/Cbody + e)
 
@@ -58,17 +60,21 @@ CUT_TAGS = frozenset(
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form tablist".split())
 CUT_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Words that, in one name with such a word, only tell whether a page takes comments; words of it that an article's own parts may bear.
+STATES = frozenset("has no with without open opened closed enabled disabled allow allowed allows off on".split())
+OWN_PARTS = frozenset("reply respond discussion".split())
 CUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "notification alert menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead "
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay toolbar "
     "pagination pager skip copyright header topbar form search".split()
 )
-#: Names that mean furniture inside an article too, as a whole class or id.
+#: Names that mean furniture inside an article too, as a whole class or id or with other words of furniture or of boxes only.
 CUT_INSIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert newsletter "
     "subscribe subscription signup login popup modal overlay copyright sidebar sidebars".split()
 )
+BOXES = frozenset("area bar block box container holder inner panel slot unit wrap wrapper".split())
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)""",
@@ -157,18 +163,18 @@ def _furniture(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         return False, False
     if name not in ("html", "body") and ("hidden" in named or named.get("aria-hidden") == "true" or _HIDDEN.search(named.get("style", ""))):
         return True, False
-    words = {w.lower() for w in _NAME.findall(f"{named.get('class', '')} {named.get('id', '')}")}
+    names = [{w.lower() for w in _NAME.findall(x) if not w.isdigit()} for x in f"{named.get('class', '')} {named.get('id', '')}".split()]
     if name in ("html", "body", "main"):
         return False, False
-    if words & CUT_COMMENTS:
+    comments = CUT_COMMENTS - OWN_PARTS if in_article else CUT_COMMENTS
+    if any(x & comments and not x & STATES for x in names):
         return True, False
     if name == "article":
         return False, False
     role = named.get("role", "").lower() in CUT_ROLES
-    whole = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
-    if in_article and (role or CUT_INSIDE.intersection(whole)):
+    if in_article and (role or any(x & CUT_INSIDE and x <= CUT_WORDS | BOXES for x in names)):
         return True, False
-    return False, bool(words & CUT_WORDS) or role
+    return False, any(x & CUT_WORDS for x in names) or role
 
 
 def extract(source: str | None) -> str:

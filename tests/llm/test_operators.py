@@ -161,6 +161,18 @@ def test_html_by_definition():
         assert set(html_extract.extract(serial(body)).split()) == density_text(body, body)
 
 
+def test_html_names_made_of_several_words():
+    text = "Long main text of the article about rivers and hills. " * 6
+    for page in (
+        '<article class="post comments-open"><p>{}</p></article>', '<div class="page has-comments"><article><p>{}</p></article></div>',
+        '<div id="no-comments"><p>{}</p></div>', '<article><p>{}</p><div class="ad-banner">Buy</div><div id="cookieNotice">We use</div><p class="advert_box2">Buy</p></article>',
+        '<div id=posts><article><p>{}</p></article></div><article class="comment-body"><p>Reader</p></article><div class="comments comments-open">Reader</div>',
+    ):
+        assert html_extract.extract(f"<html><body>{page.format(text)}</body></html>") == text.strip()
+    own = '<article><p>{}</p><section id="discussion"><p>We found it.</p></section><div class="notice-of-award"><p>Won.</p></div></article>'
+    assert html_extract.extract(own.format(text)) == f"{text.strip()}\n\nWe found it.\n\nWon."
+
+
 # -- licences ------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
