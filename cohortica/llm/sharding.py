@@ -5,7 +5,7 @@ items of their own, light ones are hashed into a fixed number of cells, so the
 driver packs a bounded list: at most ``3 * cells`` heavy groups (each holds over
 1/cells of one total) and ``cells`` cells.  Items are placed in descending
 size, each on the shard where the dot product of the item with the residual
-capacity is highest.
+capacity is highest; items then move until the bytes are even.
 
 Nulls and edge cases: a null text counts as an empty one (size 1, crc 0) and
 null, empty and repeated rows are packed like any other; a null doc_id sorts
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from cohortica.llm import common
 
 CELLS = 4096
+#: Bytes of two shards may differ by this part of a fair share, as far as groups allow.
+EVEN = 0.001
 #: Slots are numbered in this many hash buckets of each shard.
 SLOT_BUCKETS = 1024
 
@@ -33,6 +35,8 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 
     Capacity is an equal share of each dimension.  An item goes where its dot
     product with the residual capacity is highest; ties go to the lower shard.
+    The first dimension is the law: items then move until it is even, since one
+    item may fill a shard in another (many copies of a short text).
     """
     total = vectors.sum(axis=0)
     share = vectors / np.where(total > 0, total, 1) * shards
@@ -43,7 +47,28 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.argmax(residual @ share[i]))
         out[i] = best
         residual[best] -= share[i]
-    return out
+    return level(vectors[:, 0], out, shards)
+
+
+def level(sizes: np.ndarray, at: np.ndarray, shards: int) -> np.ndarray:
+    """``at`` (shard of each item) with items moved until the shards' ``sizes`` are even or no move makes them more so."""
+    at, load = at.copy(), np.bincount(at, weights=sizes, minlength=shards)
+    near = load.sum() / shards * EVEN
+    while True:
+        low = int(np.argmin(load))
+        for high in np.argsort(-load, kind="stable"):
+            gap = load[high] - load[low]
+            if gap <= near:
+                return at
+            own = np.flatnonzero((at == high) & (sizes > 0) & (sizes < gap))
+            if len(own):
+                break
+        else:
+            return at
+        half = own[sizes[own] * 2 <= gap]
+        item = half[np.argmax(sizes[half])] if len(half) else own[np.argmin(sizes[own])]
+        at[item] = low
+        load[[high, low]] += (-sizes[item], sizes[item])
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str, order: tuple[Column, ...]) -> DataFrame:

@@ -64,6 +64,20 @@ def test_packing_balances_every_dimension():
     assert (sums.max(axis=0) / sums.min(axis=0) < 1.02).all()
 
 
+def test_bytes_are_even_beside_many_short_copies(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(WORDS, k=rng.choice([3, 20, 60]))) for _ in range(900)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *[""] * 500, *["a"] * 300, *[None] * 100])], "doc_id long, text string").repartition(5)
+    got = sharding.shard(df, 8).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 1800 and len(sizes) == 8 and max(sizes.values()) < 1.01 * min(sizes.values())
+    assert len({r.shard for r in got if r.size == 1}) == 1
+    heavy = sharding.pack(np.array([[1000.0, 1, 1], *[[1, 1, 1]] * 70, *[[0, 0, 90]] * 3]), 8)  # one group over a fair share
+    assert np.bincount(heavy, weights=[1000, *[1] * 70, *[0] * 3], minlength=8).tolist() == [1000, *[10] * 7]
+
+
 # -- html ----------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
